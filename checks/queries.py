@@ -633,8 +633,20 @@ def run_errors(spark, sf):
     return runs.error_log(fx.run_tasks(spark, sf)).select("run_type", "company", "error")
 
 
+def _wide(query: Query) -> Query:
+    """Whole numbers as bigint, the type SQL gives them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.select(
+            *[F.col(n).cast("bigint") if t == "int" else F.col(n) for n, t in df.dtypes]
+        )
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    q.__name__.rstrip("_"): q
+    q.__name__.rstrip("_"): _wide(q)
     for q in (
         search_stack, ingest_board_a, ingest_board_b, html_job_links, html_job_detail,
         html_job_postings, html_pagination, registry_filter, discover_token_a, discover_token_b,
