@@ -19,7 +19,7 @@ def quoted(text: str) -> str:
 
 def values(rows) -> str:
     return "VALUES " + ", ".join(
-        "(" + ", ".join(str(v) if isinstance(v, int) else quoted(v) for v in row) + ")"
+        "(" + ", ".join(f"{v}::BIGINT" if isinstance(v, int) else quoted(v) for v in row) + ")"
         for row in rows
     )
 
@@ -389,16 +389,22 @@ link AS (
 ]
 ORACLES["html_job_links"] = with_(*LINKS) + "SELECT page_id, pos, url, title, jk FROM link"
 
+def plain(expr: str) -> str:
+    """Character references as a browser reads them, also those without a semicolon."""
+    for name, text in (("quot", '"'), ("#x27", "'"), ("lt", "<"), ("gt", ">"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        expr = f"regexp_replace({expr}, '&{name};?', {quoted(text)}, 'g')"
+    return expr
+
+
+UNSCRIPTED = "replace(html, 't=\"</p>\"', 't=\"' || chr(1) || '/p>\"')"
 DETAIL = f"""
 detail AS (
   SELECT page_id,
          CASE WHEN page_id % 3 = 0 THEN 'https://www.indeed.com/viewjob?n=' || page_id
               ELSE 'https://www.indeed.com/rc/clk?jk=ab' || page_id || '&from=x' END AS url,
-         {trimmed(replaced("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')", ("&amp;", "&")))} AS title,
+         {trimmed(plain("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"))} AS title,
          'Co ' || page_id AS company,
-         {collapsed("'Role ' || page_id || " + replaced(
-             "regexp_replace(replace(html, 't=\"</p>\"', 't=\"' || chr(1) || '/p>\"'), '<[^>]+>', '', 'g')",
-             ("&amp;", "&"), ("&copy;", "©"), ("&middot;", "·")))} AS marked
+         {collapsed(f"'Role ' || page_id || regexp_replace({plain(UNSCRIPTED)}, '<[^>]+>', '', 'g')")} AS marked
   FROM pages WHERE page_id % 4 <> 3)
 """
 ORACLES["html_job_detail"] = with_(DETAIL) + """
@@ -833,7 +839,7 @@ WHERE window_start + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE F
 ORACLES["request_stats"] = with_(LOG) + """
 SELECT key_id, count(*) AS requests, count(*) FILTER (WHERE status < 400) AS succeeded,
        count(*) FILTER (WHERE status BETWEEN 400 AND 499) AS client_errors,
-       count(*) FILTER (WHERE status >= 500) AS server_errors, round(avg(ms), 4) AS avg_ms,
+       count(*) FILTER (WHERE status >= 500) AS server_errors, round(sum(ms), 2) AS total_ms,
        max(ms) AS max_ms, quantile_disc(ms, 0.95) AS p95_ms
 FROM log GROUP BY key_id
 """
@@ -861,7 +867,7 @@ s AS (
 """) + """
 SELECT k.key_id, coalesce(p.plan, k.plan) AS plan,
        CASE p.plan WHEN 'starter' THEN 60 WHEN 'pro' THEN 300 WHEN 'enterprise' THEN 1000
-            ELSE k.requests_per_minute END AS requests_per_minute,
+            ELSE k.requests_per_minute END::BIGINT AS requests_per_minute,
        CASE p.plan WHEN 'starter' THEN 1000 WHEN 'pro' THEN 10000 WHEN 'enterprise' THEN 999999999
             ELSE k.monthly_limit END AS monthly_limit,
        CASE WHEN c.key_id IS NOT NULL THEN c.customer ELSE k.customer END AS customer,

@@ -141,7 +141,7 @@ def _anchor_links(html: Column) -> Column:
 
 def _card_links(html: str) -> list[dict]:
     links = []
-    for a in find(html, CARD_LINK):
+    for a in find(html, CARD_LINK)[0]:
         href, title = a.attrs.get("href"), _TRIM.sub("", a.content())
         if href and title:
             links.append({"url": _absolute(href), "title": title, "jk": None})
@@ -183,22 +183,27 @@ def _id_type(pages: DataFrame) -> str:
     return f"page_id {pages.schema['page_id'].dataType.simpleString()}"
 
 
-def _first_text(html: str, selectors: list[Selector], whole_set: bool) -> str:
-    for selector in selectors:
-        elements = find(html, selector)
-        if elements:
-            return "".join(e.content() for e in (elements if whole_set else elements[:1]))
-    return ""
+def _text(elements: list) -> str:
+    return _TRIM.sub("", "".join(e.content() for e in elements))
+
+
+def _detail(html: str) -> tuple[str, str, str]:
+    """Title, description and company of one page.
+
+    The first selector with a match counts; a description takes all its matches, the others one.
+    """
+    found = find(html, *DESCRIPTION, *TITLE, COMPANY)
+    n, m = len(DESCRIPTION), len(DESCRIPTION) + len(TITLE)
+    description = next((f for f in found[:n] if f), [])
+    title = next((f for f in found[n:m] if f), [])
+    return _text(title[:1]), _RUNS.sub(" ", _text(description)), _text(found[m][:1])
 
 
 def _details(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        html = batch.pop("html")
-        batch["title"] = [_TRIM.sub("", _first_text(h, TITLE, False)) for h in html]
-        batch["description"] = [
-            _TRIM.sub("", _RUNS.sub(" ", _first_text(h, DESCRIPTION, True))) for h in html
-        ]
-        batch["company"] = [_TRIM.sub("", _first_text(h, [COMPANY], False)) for h in html]
+        parsed = [_detail(h) for h in batch.pop("html")]
+        for i, name in enumerate(("title", "description", "company")):
+            batch[name] = [p[i] for p in parsed]
         yield batch[batch["description"] != ""]
 
 
@@ -240,7 +245,7 @@ def _page_numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for page_id, html in zip(batch["page_id"], batch["html"]):
-            for a in find(html, PAGE_LINK):
+            for a in find(html, PAGE_LINK)[0]:
                 href, text = a.attrs.get("href"), _TRIM.sub("", a.content())
                 if href and re.fullmatch("[0-9]+", text):
                     rows.append((page_id, int(text), _absolute(href)))

@@ -7,7 +7,7 @@ has found to contain the wanted markup.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -54,11 +54,11 @@ class Selector(NamedTuple):
 
 
 class _Finder(HTMLParser):
-    def __init__(self, wanted: Selector) -> None:
+    def __init__(self, wanted: Sequence[Selector]) -> None:
         super().__init__(convert_charrefs=True)
         self.wanted = wanted
         self.open: list[Element] = []
-        self.found: list[Element] = []
+        self.found: list[list[Element]] = [[] for _ in wanted]
         self.collecting: list[Element] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -67,12 +67,15 @@ class _Finder(HTMLParser):
         element = Element(
             tag, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else None
         )
-        if self.wanted.accepts(element):
-            self.found.append(element)
-            if tag not in _VOID:
-                self.collecting.append(element)
+        hit = False
+        for selector, found in zip(self.wanted, self.found):
+            if selector.accepts(element):
+                found.append(element)
+                hit = True
         if tag not in _VOID:
             self.open.append(element)
+            if hit:
+                self.collecting.append(element)
 
     def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, -1, -1):
@@ -81,17 +84,21 @@ class _Finder(HTMLParser):
                 return
 
     def _close(self, depth: int) -> None:
-        closed = self.open[depth:]
+        if self.collecting:
+            closed = self.open[depth:]
+            self.collecting = [e for e in self.collecting if e not in closed]
         del self.open[depth:]
-        self.collecting = [e for e in self.collecting if e not in closed]
 
     def handle_data(self, data: str) -> None:
         for element in self.collecting:
             element.text.append(data)
 
 
-def find(html: str, wanted: Selector) -> list[Element]:
-    """Matching elements in document order, with the text of all their descendants."""
+def find(html: str, *wanted: Selector) -> list[list[Element]]:
+    """For each selector its elements in document order, with the text of all their descendants.
+
+    The page is read once, however many selectors there are.
+    """
     finder = _Finder(wanted)
     finder.feed(html)
     finder.close()
