@@ -5,9 +5,12 @@ Every row of a driver table is used; numbers only decide what a row's columns sa
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sigweave.operators.billing import COMPLETED, DELETED, UPDATED
+from sigweave.session import spread
 from sigweave.sources.taxonomy import default_aliases
 
 ALIASES = default_aliases()
@@ -23,6 +26,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """A table whose texts cost work per row."""
+    return spread(load(spark, sf_dir, table), key)
+
+
 def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
@@ -32,7 +40,8 @@ def day(n: Column) -> Column:
 
 
 def alias_at(index: Column) -> Column:
-    return F.get(F.array(*[F.lit(a.alias) for a in ALIASES]), (index % N).cast("int"))
+    every = F.split(F.lit("|".join(a.alias for a in ALIASES)), r"\|")
+    return F.get(every, (index % N).cast("int"))
 
 
 def _numbers(documents: DataFrame) -> DataFrame:
@@ -44,7 +53,7 @@ def _numbers(documents: DataFrame) -> DataFrame:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``posting`` from documents: 20 companies, three boards, two scrapes each."""
-    d = _numbers(load(spark, sf_dir, "documents"))
+    d = _numbers(texts(spark, sf_dir, "documents", "doc_id"))
     snap = F.floor(F.col("doc_id") / 60) % 2
     return d.select(
         F.concat("source", F.lit(".example.com")).alias("domain"),
@@ -67,7 +76,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payloads_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Board A responses from documents: one or two jobs each, some without a jobs array."""
-    d = _numbers(load(spark, sf_dir, "documents"))
+    d = _numbers(texts(spark, sf_dir, "documents", "doc_id"))
     i = F.col("doc_id")
     job = F.struct(
         i.alias("id"),
@@ -100,7 +109,7 @@ def payloads_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payloads_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Board B responses from documents: one posting each, some not an array."""
-    d = _numbers(load(spark, sf_dir, "documents"))
+    d = _numbers(texts(spark, sf_dir, "documents", "doc_id"))
     i = F.col("doc_id")
     lists = F.array(
         F.struct(
@@ -141,7 +150,7 @@ def payloads_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header captures from pages: seven header sets, generator tags in both attribute orders."""
-    p = load(spark, sf_dir, "pages")
+    p = texts(spark, sf_dir, "pages", "page_id")
     i = F.col("page_id")
 
     def headers(**kv: str) -> Column:
@@ -181,7 +190,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result pages from pages: keyed links on two of three, title cards on the rest, page numbers."""
-    p = load(spark, sf_dir, "pages")
+    p = texts(spark, sf_dir, "pages", "page_id")
     i, s = F.col("page_id"), F.col("page_id").cast("string")
     keyed = F.concat(
         F.lit('<a class="x" data-jk="k" href="/rc/clk?jk=ab'), s, F.lit('&amp;from=x"><b>Data</b> &amp; Web '),
@@ -205,7 +214,7 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job pages from pages: the article inside one of the known containers, or none of them."""
-    p = load(spark, sf_dir, "pages")
+    p = texts(spark, sf_dir, "pages", "page_id")
     i, s = F.col("page_id"), F.col("page_id").cast("string")
     container = F.get(
         F.array(*[F.lit(x) for x in (
@@ -229,7 +238,7 @@ def job_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def career_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Careers pages from pages: board links in tags, in plain text, or absent."""
-    p = load(spark, sf_dir, "pages")
+    p = texts(spark, sf_dir, "pages", "page_id")
     i, s = F.col("page_id"), F.col("page_id").cast("string")
     added = F.get(
         F.array(
@@ -376,11 +385,13 @@ def signal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in (
         "job_listing", "html_headers", "github_org", "g2_profile", "linkedin", "press",
     )])
-    techs = F.array(*[
-        F.struct(F.lit(a.canonical).alias("canonical"), F.lit(a.category).alias("category"),
-                 F.lit(a.alias).alias("raw_mention"))
-        for a in ALIASES
-    ])
+    techs = F.from_json(
+        F.lit(json.dumps([
+            {"canonical": a.canonical, "category": a.category, "raw_mention": a.alias}
+            for a in ALIASES
+        ])),
+        "array<struct<canonical: string, category: string, raw_mention: string>>",
+    )
     return d.select(
         F.concat("source", F.lit(".example.com")).alias("domain"),
         i.alias("group_pos"),

@@ -161,7 +161,8 @@ def _marked_pages(spark, sf):
         F.lit("<SCRIPT type='x'>var a = '<b>';</SCRIPT> &nbsp;R&amp;D &amp;lt;b&gt; it&#39;s \n x"), i,
         F.lit("\n﻿ <p>end</p>　"),
     )
-    return fx.load(spark, sf, "pages").select("page_id", F.concat("html", extra).alias("html"))
+    pages = fx.texts(spark, sf, "pages", "page_id")
+    return pages.select("page_id", F.concat("html", extra).alias("html"))
 
 
 def _stripped(spark, sf, mode):
@@ -192,7 +193,7 @@ def extract_mentions_anchor(spark, sf):
 
 
 def extract_words(spark, sf):
-    docs = fx.load(spark, sf, "documents").select(
+    docs = fx.texts(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").alias("posting_id"), F.lit(None).cast("string").alias("title"),
         F.col("text").alias("description"),
     )

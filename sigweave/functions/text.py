@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The characters the data model counts as whitespace (Unicode spaces, line and
-# paragraph separators, and the byte-order mark).  Java's \s is ASCII only, and Spark's trim
-# removes only U+0020, so the class is spelled out; the syntax is valid in Java and in RE2.
-WHITESPACE = (
-    r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+# What the data model counts as whitespace: ASCII whitespace, every Unicode space,
+# line and paragraph separator, and the byte-order mark.  Java's \s is ASCII only and Spark's trim
+# removes only U+0020.  The class means the same in Java and in RE2; the characters are its members.
+WHITESPACE = r"[\s\x0B\p{Z}\x{feff}]"
+WHITESPACE_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
 # What may not touch an alias on either side.
@@ -18,7 +19,7 @@ WORD_CHAR = "[a-z0-9]"
 
 def trim_all(col: Column) -> Column:
     """Strip every kind of whitespace from both ends."""
-    return F.regexp_replace(col, rf"\A{WHITESPACE}+|{WHITESPACE}+\z", "")
+    return F.btrim(col, F.lit(WHITESPACE_CHARS))
 
 
 def collapse(col: Column) -> Column:

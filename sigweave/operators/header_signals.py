@@ -7,6 +7,7 @@ every pattern is a constant the JVM compiles once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -55,40 +56,55 @@ def generator_value(body: Column) -> Column:
     return F.coalesce(*found)
 
 
-def _signal(order: int, canonical: str, category: str, confidence: float, source: str) -> Column:
-    return F.struct(
-        F.lit(order).alias("rule_ord"),
-        F.lit(canonical).alias("canonical"),
-        F.lit(category).alias("category"),
-        F.lit(confidence).alias("confidence"),
-        F.lit(source).alias("source"),
-    )
+_SIGNAL = (
+    "struct<rule_ord: int, canonical: string, category: string, confidence: double, source: string>"
+)
 
 
-def header_matches(headers: Column, rules: Sequence[HeaderRule] = HEADER_RULES) -> Column:
-    """Signals of every rule whose header is present, non-empty and matches, in rule order."""
-    hits = [
-        F.when(
-            F.try_element_at(headers, F.lit(r.header)).rlike(f"(?i){r.pattern}"),
-            _signal(i, r.canonical, r.category, HEADER_CONFIDENCE, HEADER_SIGNAL),
-        )
-        for i, r in enumerate(rules)
+def _signals(tests: Sequence[str], signals: Sequence[dict]) -> Column:
+    """The signals whose test holds.  Tests are SQL over the row; the signals are one constant."""
+    numbered = ", ".join(f"if({test}, {i}, null)" for i, test in enumerate(tests))
+    table = F.from_json(F.lit(json.dumps(signals)), f"array<{_SIGNAL}>")
+    return F.transform(F.expr(f"array_compact(array({numbered}))"), lambda i: F.get(table, i))
+
+
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def header_matches(headers: str, rules: Sequence[HeaderRule] = HEADER_RULES) -> Column:
+    """Signals of every rule whose header is present, non-empty and matches, in rule order.
+
+    ``headers`` names a map column with lower-case keys.
+    """
+    tests = [
+        f"try_element_at({headers}, {_text(r.header)}) rlike {_text('(?i)' + r.pattern)}"
+        for r in rules
     ]
-    return F.array_compact(F.array(*hits))
+    return _signals(
+        tests,
+        [
+            dict(rule_ord=i, canonical=r.canonical, category=r.category,
+                 confidence=HEADER_CONFIDENCE, source=HEADER_SIGNAL)
+            for i, r in enumerate(rules)
+        ],
+    )
 
 
 def generator_matches(
-    generator: Column, rules: Sequence[GeneratorRule] = GENERATOR_RULES, first_ord: int = 0
+    generator: str, rules: Sequence[GeneratorRule] = GENERATOR_RULES, first_ord: int = 0
 ) -> Column:
-    """Signals of every rule that matches the generator tag, in rule order."""
-    hits = [
-        F.when(
-            generator.rlike(f"(?i){r.pattern}"),
-            _signal(first_ord + i, r.canonical, r.category, GENERATOR_CONFIDENCE, GENERATOR_SIGNAL),
-        )
-        for i, r in enumerate(rules)
-    ]
-    return F.array_compact(F.array(*hits))
+    """Signals of every rule that matches the generator column, in rule order."""
+    tests = [f"{generator} rlike {_text('(?i)' + r.pattern)}" for r in rules]
+    return _signals(
+        tests,
+        [
+            dict(rule_ord=first_ord + i, canonical=r.canonical, category=r.category,
+                 confidence=GENERATOR_CONFIDENCE, source=GENERATOR_SIGNAL)
+            for i, r in enumerate(rules)
+        ],
+    )
 
 
 def _prepared(captures: DataFrame) -> DataFrame:
@@ -101,7 +117,7 @@ def _prepared(captures: DataFrame) -> DataFrame:
 
 def header_signals(captures: DataFrame, rules: Sequence[HeaderRule] = HEADER_RULES) -> DataFrame:
     rows = _prepared(captures).select(
-        "domain", "scraped_at", header_matches(F.col("_headers"), rules).alias("s")
+        "domain", "scraped_at", header_matches("_headers", rules).alias("s")
     )
     return rows.select("domain", "scraped_at", F.inline_outer("s")).filter("rule_ord is not null")
 
@@ -111,7 +127,7 @@ def generator_signals(
 ) -> DataFrame:
     rows = _prepared(captures).select(
         "domain", "scraped_at", "_generator",
-        generator_matches(F.col("_generator"), rules).alias("s"),
+        generator_matches("_generator", rules).alias("s"),
     )
     return rows.select(
         "domain", "scraped_at", F.col("_generator").alias("generator"), F.inline_outer("s")
@@ -157,8 +173,8 @@ def header_profile(
     signals = _prepared(captures).select(
         "domain", "scraped_at",
         F.concat(
-            header_matches(F.col("_headers"), header_rules),
-            generator_matches(F.col("_generator"), generator_rules, len(header_rules)),
+            header_matches("_headers", header_rules),
+            generator_matches("_generator", generator_rules, len(header_rules)),
         ).alias("_signals"),
     )
     best = signals.select("domain", "scraped_at", _best_per_tech(F.col("_signals")).alias("_best"))

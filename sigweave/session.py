@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sigweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +39,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark, "checkpoint"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of an input that comes in fewer splits than there are cores.
+
+    For per-row work that costs far more than moving the row.  An input with enough splits, which
+    is any large one, is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sigweave.functions.text import WHITESPACE, decode_entities, null_if_empty, trim_all
+from sigweave.functions.text import WHITESPACE_CHARS, decode_entities, null_if_empty, trim_all
 from sigweave.sources.markup import (
     Selector, any_of, attr_contains, attr_is, find, has_class, is_tag,
 )
@@ -64,8 +64,7 @@ def _in_pagination(e) -> bool:
 PAGE_LINK = Selector(is_tag("a"), _in_pagination)
 PAGE_MARKS = ["pagination"]
 
-_TRIM = re.compile(rf"\A{WHITESPACE}+|{WHITESPACE}+\Z".replace("\\x{", "\\u").replace("}", ""))
-_RUNS = re.compile(WHITESPACE.replace("\\x{", "\\u").replace("}", "") + "{2,}")
+_RUNS = re.compile(f"[{WHITESPACE_CHARS}]{{2,}}")
 
 
 def _contains_any(col: Column, parts: list[str]) -> Column:
@@ -142,7 +141,7 @@ def _anchor_links(html: Column) -> Column:
 def _card_links(html: str) -> list[dict]:
     links = []
     for a in find(html, CARD_LINK)[0]:
-        href, title = a.attrs.get("href"), _TRIM.sub("", a.content())
+        href, title = a.attrs.get("href"), a.content().strip(WHITESPACE_CHARS)
         if href and title:
             links.append({"url": _absolute(href), "title": title, "jk": None})
     return links
@@ -184,7 +183,7 @@ def _id_type(pages: DataFrame) -> str:
 
 
 def _text(elements: list) -> str:
-    return _TRIM.sub("", "".join(e.content() for e in elements))
+    return "".join(e.content() for e in elements).strip(WHITESPACE_CHARS)
 
 
 def _detail(html: str) -> tuple[str, str, str]:
@@ -246,7 +245,7 @@ def _page_numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for page_id, html in zip(batch["page_id"], batch["html"]):
             for a in find(html, PAGE_LINK)[0]:
-                href, text = a.attrs.get("href"), _TRIM.sub("", a.content())
+                href, text = a.attrs.get("href"), a.content().strip(WHITESPACE_CHARS)
                 if href and re.fullmatch("[0-9]+", text):
                     rows.append((page_id, int(text), _absolute(href)))
         yield pd.DataFrame(rows, columns=["page_id", "page", "url"])
