@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from sigweave import params
 from sigweave.functions.profiles import entries_by_category
-from sigweave.operators.latest import change_history, latest_by_source
-from sigweave.operators.merge import merge_profiles
+from sigweave.operators.latest import change_history
+from sigweave.operators.merge import merged_rows
 
 
 def profiles_by_source(snapshots: DataFrame, sources: str | None) -> DataFrame:
@@ -29,47 +29,28 @@ def company_detail(
     Technologies come by confidence, then in the order the newest profile lists them.  With
     ``events`` the newest change events come along, at most 100 a company.
     """
-    chosen = profiles_by_source(snapshots, sources)
-    merged = merge_profiles(chosen)
+    kept = F.col("canonical").isNotNull()
     if category:
-        merged = merged.withColumn("_kept", F.col("category") == category)
-    else:
-        merged = merged.withColumn("_kept", F.lit(True))
+        kept = kept & (F.col("category") == category)
     if min_confidence is not None:
-        floor = params.confidence(min_confidence)
-        merged = merged.withColumn("_kept", F.col("_kept") & (F.col("confidence") >= floor))
+        kept = kept & (F.col("confidence") >= params.confidence(min_confidence))
     entry = F.struct(
         (-F.col("confidence")).alias("k1"), F.col("first_age").alias("k2"),
         F.col("first_ord").alias("k3"), "canonical", "category", "confidence", "sources",
         "job_mention_count", "job_mention_frequency",
     )
-    nested = merged.groupBy("domain").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_kept"), entry))).alias("entries")
-    )
-    # A company with only empty profiles still has sources and a last scrape.
-    scrapes = (
-        latest_by_source(chosen)
-        .groupBy("domain")
-        .agg(
-            F.max("scraped_at").alias("last_scraped"),
-            F.array_sort(
-                F.collect_list(
-                    F.struct((-F.unix_micros("scraped_at")).alias("k"), F.col("source"))
-                )
-            ).alias("s"),
-        )
-    )
-    technologies = F.transform(
-        F.coalesce("entries", F.array()), lambda e: e.dropFields("k1", "k2", "k3")
+    nested = merged_rows(profiles_by_source(snapshots, sources)).groupBy("domain").agg(
+        F.max("last_scraped").alias("last_scraped"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("profiles")))).alias("profiles"),
+        F.array_sort(F.collect_list(F.when(kept, entry))).alias("entries"),
     )
     detail = (
         companies.select("domain", F.col("name").alias("company"))
-        .join(scrapes, "domain")
-        .join(nested, "domain", "left")
+        .join(nested, "domain")
         .select(
             "domain", "company", "last_scraped",
-            F.transform("s", lambda x: x["source"]).alias("sources_available"),
-            technologies.alias("technologies"),
+            F.transform("profiles", lambda x: x["source"]).alias("sources_available"),
+            F.transform("entries", lambda e: e.dropFields("k1", "k2", "k3")).alias("technologies"),
         )
         .withColumn("tech_count", F.size("technologies"))
         .withColumn("by_category", entries_by_category(F.col("technologies")))
