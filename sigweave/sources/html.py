@@ -117,7 +117,9 @@ def _anchor_links(html: Column) -> Column:
         anchors,
         lambda a: F.struct(
             F.regexp_extract(a, rf"(?is)\A(<a\b{_REST_OF_TAG})", 1).alias("tag"),
-            trim_all(decode_entities(F.regexp_replace(a, r"<[^>]*>", ""))).alias("title"),
+            trim_all(
+                decode_entities(F.regexp_replace(a, rf"(?is)</?[a-z]{_REST_OF_TAG}", ""))
+            ).alias("title"),
         ),
     )
     cards = F.filter(
