@@ -21,9 +21,19 @@ SPLIT = "2024-01-08"
 NOW = "2024-02-01"
 
 
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
+              " props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+                " c_mktsegment string",
+}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def texts(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:

@@ -29,15 +29,15 @@ GENERATOR_PATTERNS = (
 )
 
 
-def lower_keys(headers: Column) -> Column:
-    """Header map with lower-case names; the first spelling of a name wins."""
-    entries = F.transform(
-        F.map_entries(headers),
-        lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")),
-    )
-    names = F.transform(entries, lambda e: e["key"])
-    return F.map_from_entries(
-        F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
+def lower_keys(headers: str) -> Column:
+    """A header map with lower-case names; the first spelling of a name wins."""
+    names = f"transform(map_keys({headers}), k -> lower(k))"
+    return F.expr(
+        f"""
+        map_from_entries(filter(
+          transform(map_entries({headers}), e -> named_struct('key', lower(e.key), 'value', e.value)),
+          (e, i) -> array_position({names}, e.key) = i + 1))
+        """
     )
 
 
@@ -45,7 +45,7 @@ def header_rows(captures: DataFrame) -> DataFrame:
     """One row per capture and header."""
     return captures.select(
         "domain", "company_name", "scraped_at",
-        F.explode(lower_keys(F.col("headers"))).alias("header", "value"),
+        F.explode(lower_keys("headers")).alias("header", "value"),
     )
 
 
@@ -110,7 +110,7 @@ def generator_matches(
 def _prepared(captures: DataFrame) -> DataFrame:
     return captures.select(
         "domain", "company_name", "scraped_at",
-        lower_keys(F.col("headers")).alias("_headers"),
+        lower_keys("headers").alias("_headers"),
         generator_value(F.col("body")).alias("_generator"),
     )
 
@@ -134,34 +134,18 @@ def generator_signals(
     ).filter("rule_ord is not null")
 
 
-def _best_per_tech(signals: Column) -> Column:
-    """The most confident signal of each technology (first on a tie), placed where it first occurs."""
-
-    def beaten(x: Column) -> Column:
-        return F.exists(
-            signals,
-            lambda y: (y["canonical"] == x["canonical"])
-            & (
-                (y["confidence"] > x["confidence"])
-                | ((y["confidence"] == x["confidence"]) & (y["rule_ord"] < x["rule_ord"]))
-            ),
-        )
-
-    def place(x: Column) -> Column:
-        same = F.filter(signals, lambda y: y["canonical"] == x["canonical"])
-        return F.array_min(F.transform(same, lambda y: y["rule_ord"]))
-
-    kept = F.filter(signals, lambda x: ~beaten(x))
-    return F.array_sort(
-        F.transform(
-            kept,
-            lambda x: F.struct(
-                place(x).alias("place"), x["canonical"].alias("canonical"),
-                x["category"].alias("category"), x["confidence"].alias("confidence"),
-                x["source"].alias("source"),
-            ),
-        )
-    )
+# The most confident of ``_signals`` for each technology (first on a tie), placed where the
+# technology first occurs.
+_BEST = """
+array_sort(transform(
+  filter(_signals, x -> not exists(_signals, y ->
+    y.canonical = x.canonical
+    and (y.confidence > x.confidence or (y.confidence = x.confidence and y.rule_ord < x.rule_ord)))),
+  x -> named_struct(
+    'place', array_min(transform(filter(_signals, y -> y.canonical = x.canonical), y -> y.rule_ord)),
+    'canonical', x.canonical, 'category', x.category, 'confidence', x.confidence,
+    'source', x.source)))
+"""
 
 
 def header_profile(
@@ -177,7 +161,7 @@ def header_profile(
             generator_matches("_generator", generator_rules, len(header_rules)),
         ).alias("_signals"),
     )
-    best = signals.select("domain", "scraped_at", _best_per_tech(F.col("_signals")).alias("_best"))
+    best = signals.select("domain", "scraped_at", F.expr(_BEST).alias("_best"))
     return (
         best.select("domain", "scraped_at", F.posexplode_outer("_best").alias("_pos", "_s"))
         .filter(F.col("_pos").isNotNull())

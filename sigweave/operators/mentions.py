@@ -80,27 +80,15 @@ def _scan(text: Column, aliases: Sequence[Alias]) -> Column:
     return F.array_distinct(F.flatten(F.transform(hits, lambda h: lookup[h])))
 
 
-def _best(candidates: Column) -> Column:
-    """One entry per technology from a candidate array that is sorted."""
-    first = F.filter(
-        candidates,
-        lambda c, i: (i == 0)
-        | (F.get(candidates, i - 1)["canonical"] != c["canonical"]),
-    )
-    return F.transform(
-        first,
-        lambda c: F.struct(
-            c["canonical"].alias("canonical"),
-            c["category"].alias("category"),
-            c["raw_mention"].alias("raw_mention"),
-            F.array_min(
-                F.transform(
-                    F.filter(candidates, lambda o: o["canonical"] == c["canonical"]),
-                    lambda o: o["alias_ord"],
-                )
-            ).alias("alias_ord"),
-        ),
-    )
+# One entry per technology from the sorted array ``_candidates``.
+_BEST = """
+transform(
+  filter(_candidates, (c, i) -> i = 0 or get(_candidates, i - 1).canonical != c.canonical),
+  c -> named_struct(
+    'canonical', c.canonical, 'category', c.category, 'raw_mention', c.raw_mention,
+    'alias_ord', array_min(transform(
+      filter(_candidates, o -> o.canonical = c.canonical), o -> o.alias_ord))))
+"""
 
 
 def with_mentions(
@@ -116,7 +104,7 @@ def with_mentions(
     """
     text = posting_text(F.col("title"), F.col("description")) if text is None else text
     found = postings.select(*keep, F.array_sort(_scan(text, aliases)).alias("_candidates"))
-    return found.select(*keep, _best(F.col("_candidates")).alias("mentions"))
+    return found.select(*keep, F.expr(_BEST).alias("mentions"))
 
 
 def _anchored(
@@ -184,7 +172,7 @@ def _anchored(
                 ),
             )
         ).alias("_candidates"),
-    ).select(*keep, _best(F.col("_candidates")).alias("mentions"))
+    ).select(*keep, F.expr(_BEST).alias("mentions"))
 
 
 def mentions(
