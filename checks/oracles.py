@@ -424,6 +424,14 @@ SELECT page_id, CAST(title AS BIGINT) AS page, {ABSOLUTE} AS url
 FROM numbered WHERE regexp_full_match(title, '[0-9]+')
 """
 
+ENCODED = replaced(
+    "url_encode({0})", ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%2A", "*"), ("%7E", "~")
+)
+ORACLES["search_addresses"] = f"""
+SELECT c_custkey, 'https://www.indeed.com/jobs?q=' || {ENCODED.format("'\"' || c_name || ' (R&D) & Söhne*''s!~+\"'")}
+       || '&sc=0kf%3Aattr(DSQF7)%3B&sort=date&l=' || {ENCODED.format("c_mktsegment")} AS url
+FROM customer
+"""
 ORACLES["registry_filter"] = with_(REGISTRY) + "SELECT * FROM registry WHERE board = 'lever'"
 
 CAREER = """
@@ -710,15 +718,15 @@ WHERE first_entry OR own_entry
 # -- report, export -------------------------------------------------------------------------
 
 ORACLES["run_report"] = with_(
-    *SNAPSHOTS, by_category("pt", "domain, source, scraped_at", "tech_ord", "cats"), f"""
+    *SNAPSHOTS, COMPANY, by_category("pt", "domain, source, scraped_at", "tech_ord", "cats"), f"""
 top AS (
   SELECT domain, source, scraped_at, string_agg({ENTRY}, '|' ORDER BY tech_ord) AS tech_profile,
          string_agg(canonical || ':' || category || ':' || printf('%.2f', confidence) || ':' || job_mention_count, '|'
                     ORDER BY tech_ord) FILTER (WHERE tech_ord <= 15) AS top_tech
   FROM pt GROUP BY domain, source, scraped_at)
 """) + f"""
-SELECT {SCRAPE}, job_count, tech_count, tech_profile, by_category, top_tech
-FROM snap JOIN cats USING (domain, source, scraped_at) JOIN top USING (domain, source, scraped_at)
+SELECT name AS company_name, {SCRAPE}, job_count, tech_count, tech_profile, by_category, top_tech
+FROM snap JOIN company USING (domain) JOIN cats USING (domain, source, scraped_at) JOIN top USING (domain, source, scraped_at)
 """
 
 EXPORT = [
@@ -874,6 +882,7 @@ SELECT k.key_id, coalesce(p.plan, k.plan) AS plan,
        CASE WHEN s.key_id IS NOT NULL THEN s.subscription ELSE k.subscription END AS subscription
 FROM api_key k LEFT JOIN p ON p.key_id = k.key_id LEFT JOIN c ON c.key_id = k.key_id LEFT JOIN s ON s.key_id = k.key_id
 """
+ORACLES["key_hashes"] = with_(LOG) + "SELECT key_id, sha256(key_id) AS key_hash FROM api_key"
 ORACLES["webhook_outbox"] = with_(*EVENTS, """
 sub AS (
   SELECT 'sub-' || c_custkey AS id, 'https://hooks.example.com/' || c_custkey AS url, c_custkey % 3 AS kind,

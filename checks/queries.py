@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from checks import fixtures as fx
 from sigweave import params
 from sigweave.functions import profiles as pf
-from sigweave.functions.text import strip_html, valid_domain
+from sigweave.functions.text import key_hash, strip_html, valid_domain
 from sigweave.operators import (
     billing, changes, header_signals as hs, latest, merge, profile, runs, upsert, usage, webhooks,
 )
@@ -133,6 +133,14 @@ def html_pagination(spark, sf):
     return html.pagination(fx.result_pages(spark, sf))
 
 
+def search_addresses(spark, sf):
+    c = fx.load(spark, sf, "customer")
+    name = F.concat("c_name", F.lit(" (R&D) & Söhne*'s!~+"))
+    return c.select(
+        "c_custkey", html.search_address(name, F.col("c_mktsegment")).alias("url")
+    )
+
+
 def registry_filter(spark, sf):
     return registry.registry_filter(fx.registry(spark, sf), board="lever")
 
@@ -435,9 +443,9 @@ def example_uses(spark, sf):
 # -- report, export -------------------------------------------------------------------------
 
 def run_report(spark, sf):
-    r = report.run_report(all_snapshots(spark, sf))
+    r = report.run_report(all_snapshots(spark, sf), fx.companies(spark, sf))
     return r.select(
-        "domain", "source", ts("scraped_at").alias("scraped_at"), "job_count", "tech_count",
+        "company_name", "domain", "source", ts("scraped_at").alias("scraped_at"), "job_count", "tech_count",
         entries_text("tech_profile").alias("tech_profile"),
         categories_text("by_category").alias("by_category"),
         F.array_join(
@@ -517,13 +525,14 @@ def recent_adopters(spark, sf):
 
 
 def change_stream(spark, sf):
-    """Snapshots landed as files, streamed into events."""
+    """Snapshots landed as files, streamed into events; the current version lands after the previous."""
     base = shared_dir(spark, "change-stream")
-    all_snapshots(spark, sf).write.parquet(f"{base}/snapshots")
-    query = change_streams.start_change_stream(
-        spark, f"{base}/snapshots", f"{base}/events", f"{base}/checkpoint"
-    )
-    query.awaitTermination()
+    for version in versions(all_snapshots(spark, sf)):
+        version.write.mode("append").parquet(f"{base}/snapshots")
+        query = change_streams.start_change_stream(
+            spark, f"{base}/snapshots", f"{base}/events", f"{base}/checkpoint"
+        )
+        query.awaitTermination()
     return _flat_events(spark.read.parquet(f"{base}/events"))
 
 
@@ -620,6 +629,10 @@ def webhook_outbox(spark, sf):
     )
 
 
+def key_hashes(spark, sf):
+    return fx.api_keys(spark, sf).select("key_id", key_hash(F.col("key_id")).alias("key_hash"))
+
+
 def delivery_health(spark, sf):
     return webhooks.delivery_health(fx.delivery_log(spark, sf)).select(
         "subscription_id", ts("last_fired_at").alias("last_fired_at"), "failure_count"
@@ -653,7 +666,7 @@ QUERIES: dict[str, Query] = {
     q.__name__.rstrip("_"): _wide(q)
     for q in (
         search_stack, ingest_board_a, ingest_board_b, html_job_links, html_job_detail,
-        html_job_postings, html_pagination, registry_filter, discover_token_a, discover_token_b,
+        html_job_postings, html_pagination, search_addresses, registry_filter, discover_token_a, discover_token_b,
         worklist, registry_dedupe, strip_html_full, strip_html_short, extract_mentions,
         extract_mentions_anchor, extract_words, alias_map_, valid_domain_, header_signals,
         meta_generator_signals, header_profile, mention_rollup, score_signals, tech_profile,
@@ -665,6 +678,6 @@ QUERIES: dict[str, Query] = {
         export_category, export_csv, change_events, confidence_changes, change_history,
         recent_adopters, change_stream, upsert_company, upsert_profile, refresh_, monthly_usage,
         quota_breach, rate_windows, rate_stream, request_stats, plan_state, webhook_outbox,
-        delivery_health, run_summary, run_errors,
+        key_hashes, delivery_health, run_summary, run_errors,
     )
 }

@@ -92,3 +92,17 @@ def or_empty(col: Column) -> Column:
 
 def null_if_empty(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
+
+
+def key_hash(col: Column) -> Column:
+    """How an API key is stored: the SHA-256 of the raw key in hex."""
+    return F.sha2(col, 256)
+
+
+def encode_component(col: Column) -> Column:
+    """Percent-encoding of a URL component, which leaves ``!'()*~`` alone and writes a space as ``%20``."""
+    return _decode(
+        F.url_encode(col),
+        [("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%2A", "*"),
+         ("%7E", "~")],
+    )

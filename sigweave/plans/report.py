@@ -10,8 +10,11 @@ from sigweave.functions.text import round2
 TOP_TECH = 15
 
 
-def run_report(snapshots: DataFrame) -> DataFrame:
-    """One row per scrape: counts, profile, by category, and the top technologies."""
+def run_report(snapshots: DataFrame, companies: DataFrame) -> DataFrame:
+    """One row per scrape: company, counts, profile, by category, and the top technologies.
+
+    A domain without a company goes by the domain itself.
+    """
     # A stored profile is in confidence order already, so its head is the top.
     top = F.transform(
         F.slice("tech_profile", 1, TOP_TECH),
@@ -22,7 +25,9 @@ def run_report(snapshots: DataFrame) -> DataFrame:
             t["job_mention_count"].alias("job_mentions"),
         ),
     )
-    return snapshots.select(
+    named = snapshots.join(companies.select("domain", "name"), "domain", "left")
+    return named.select(
+        F.coalesce("name", "domain").alias("company_name"),
         "domain", "source", "scraped_at", "job_count", "tech_count", "tech_profile",
         entries_by_category(F.col("tech_profile")).alias("by_category"),
         top.alias("top_tech"),
@@ -36,10 +41,10 @@ def run_totals(snapshots: DataFrame) -> DataFrame:
 
 
 def write_report(
-    snapshots: DataFrame, path: str, run_at: Column, completed_at: Column
+    snapshots: DataFrame, companies: DataFrame, path: str, run_at: Column, completed_at: Column
 ) -> None:
     """Results as JSON lines under ``results``, the header with totals under ``header``."""
-    run_report(snapshots).write.mode("overwrite").json(f"{path}/results")
+    run_report(snapshots, companies).write.mode("overwrite").json(f"{path}/results")
     run_totals(snapshots).select(
         run_at.cast("timestamp").alias("run_at"),
         completed_at.cast("timestamp").alias("completed_at"),

@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Streaming state on disk and off the heap, so it may outgrow executor memory.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "sigweave", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution and UTC; keyword names use ``__`` for dots."""
+    """A session with adaptive execution, state in RocksDB, and UTC; keyword names use ``__`` for dots."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     if master:
         builder = builder.master(master)

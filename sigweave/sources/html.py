@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sigweave.functions.text import WHITESPACE_CHARS, decode_entities, null_if_empty, trim_all
+from sigweave.functions.text import (
+    WHITESPACE_CHARS, decode_entities, encode_component, null_if_empty, trim_all,
+)
 from sigweave.sources.markup import (
     Selector, any_of, attr_contains, attr_is, find, has_class, is_tag,
 )
@@ -26,6 +28,9 @@ MAX_LINKS = 50
 MAX_LINKS_PER_COMPANY = 20
 MAX_DETAILS = 15
 
+# How the site's search asks for one employer's jobs, newest first.
+SEARCH_FILTER = "&sc=0kf%3Aattr(DSQF7)%3B&sort=date"
+
 # Where a job page keeps its description, title and company, in order of preference.
 DESCRIPTION = [
     Selector(attr_is("data-testid", "jobsearch-JobComponent-description")),
@@ -93,6 +98,19 @@ def _has_attribute(tag: Column, name: str) -> Column:
     return bare.rlike(rf"(?i)\s{name}[\s=/>]")
 
 
+def search_address(company_name: Column, location: Column | None = None) -> Column:
+    """Address of the result page for one company, optionally in one place."""
+    url = F.concat(
+        F.lit(f"{JOB_SITE}/jobs?q="),
+        encode_component(F.concat(F.lit('"'), company_name, F.lit('"'))),
+        F.lit(SEARCH_FILTER),
+    )
+    if location is None:
+        return url
+    place = F.concat(F.lit("&l="), encode_component(location))
+    return F.concat(url, F.when(location != "", place).otherwise(""))
+
+
 def absolute(href: Column) -> Column:
     return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(JOB_SITE), href))
 

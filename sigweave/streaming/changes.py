@@ -18,14 +18,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sigweave import schemas
 
+MAX_BATCH_BYTES = 2 << 30
+
 _FIELDS = [part.split()[0] for part in schemas.CHANGE_EVENT.split(", ")]
 
 
-def read_snapshots(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
-    """Snapshot files as a stream."""
+def read_snapshots(spark: SparkSession, path: str, max_bytes: int = MAX_BATCH_BYTES) -> DataFrame:
+    """Snapshot files as a stream.
+
+    ``max_bytes`` bounds a micro-batch, and so what one key can bring to one task.
+    """
     return (
         spark.readStream.schema(schemas.SNAPSHOT)
-        .option("maxFilesPerTrigger", max_files)
+        .option("maxBytesPerTrigger", max_bytes)
         .parquet(path)
     )
 
@@ -74,11 +79,11 @@ def change_stream(snapshots: DataFrame) -> DataFrame:
 
 def start_change_stream(
     spark: SparkSession, snapshots_path: str, events_path: str, checkpoint: str,
-    max_files: int = 1_000,
+    max_bytes: int = MAX_BATCH_BYTES,
 ) -> StreamingQuery:
     """Process what has landed and stop; the file sink and the checkpoint make it exactly once."""
     return (
-        change_stream(read_snapshots(spark, snapshots_path, max_files))
+        change_stream(read_snapshots(spark, snapshots_path, max_bytes))
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .outputMode("append")

@@ -172,10 +172,11 @@ def test_json_envelope(data, spark, tmp_path):
 
 
 def test_report(data, spark, tmp_path):
-    snaps, _ = data
-    report.write_report(snaps, str(tmp_path / "r"), F.lit("2024-02-01"), F.lit("2024-02-02"))
+    snaps, comps = data
+    report.write_report(snaps, comps, str(tmp_path / "r"), F.lit("2024-02-01"), F.lit("2024-02-02"))
     header = json.loads(read_text(tmp_path / "r" / "header", "json"))
     assert (header["total_companies"], header["total_jobs"]) == (6, 49)
     results = [json.loads(x) for x in read_text(tmp_path / "r" / "results", "json").splitlines()]
     stripe = next(r for r in results if r["job_count"] == 42)
+    assert stripe["company_name"] == "Stripe"
     assert [t["name"] for t in stripe["top_tech"]] == ["React", "TypeScript", "Go", "PostgreSQL"]
