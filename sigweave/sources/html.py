@@ -86,11 +86,10 @@ def tags_only(html: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in an opening tag, null when absent or empty."""
+    """Value of an attribute in an opening tag: null when absent, empty when it has no value."""
     pairs = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))
     pair = F.get(F.filter(pairs, lambda p: p.rlike(rf"(?i)\A{name}\s*=")), F.lit(0))
-    value = F.regexp_replace(pair, r"""(?s)\A[^=]*=\s*["']?|["']\z""", "")
-    return decode_entities(null_if_empty(value))
+    return decode_entities(F.regexp_replace(pair, r"""(?s)\A[^=]*=\s*["']?|["']\z""", ""))
 
 
 def _has_attribute(tag: Column, name: str) -> Column:
@@ -145,17 +144,19 @@ def _anchor_links(html: Column) -> Column:
         lambda p: _has_attribute(p["tag"], "data-jk")
         | F.coalesce(attribute(p["tag"], "id").startswith("job_"), F.lit(False)),
     )
+    # Each step binds what the next one uses more than once, so nothing is parsed twice.
+    addressed = F.transform(
+        cards, lambda p: F.struct(attribute(p["tag"], "href").alias("href"), p["title"])
+    )
     links = F.transform(
-        cards,
-        lambda p: F.struct(
-            absolute(attribute(p["tag"], "href")).alias("url"),
-            p["title"].alias("title"),
-            null_if_empty(
-                F.regexp_extract(attribute(p["tag"], "href"), r"(?i)[?&]jk=([a-z0-9]+)", 1)
-            ).alias("jk"),
+        F.filter(addressed, lambda x: (x["href"] != "") & (x["title"] != "")),
+        lambda x: F.struct(
+            absolute(x["href"]).alias("url"),
+            x["title"].alias("title"),
+            F.regexp_extract(x["href"], r"(?i)[?&]jk=([a-z0-9]+)", 1).alias("jk"),
         ),
     )
-    return F.filter(links, lambda x: x["url"].isNotNull() & (x["title"] != "") & x["jk"].isNotNull())
+    return F.filter(links, lambda x: x["jk"] != "")
 
 
 def _card_links(html: str) -> list[dict]:
@@ -288,18 +289,26 @@ def _token_a(html: Column) -> Column:
     tags = F.regexp_extract_all(
         tags_only(html), F.lit(rf"(?is)<(?:script|iframe|a)\b{_REST_OF_TAG}"), F.lit(0)
     )
-
-    def address(tag: Column) -> Column:
-        is_anchor = tag.rlike(r"(?i)^<a\b")
-        src, href = attribute(tag, "src"), attribute(tag, "href")
-        selected = F.when(is_anchor, href).otherwise(src).contains(BOARD_A_HOST)
-        return F.when(selected, F.coalesce(src, href))
-
-    tokens = F.array_compact(
-        F.transform(tags, lambda t: null_if_empty(F.regexp_extract(address(t), TOKEN_A_TAG, 1)))
+    # Each step binds what the next one uses more than once, so nothing is parsed twice.
+    parsed = F.transform(
+        tags,
+        lambda t: F.struct(
+            t.rlike(r"(?i)\A<a\b").alias("anchor"),
+            attribute(t, "src").alias("src"),
+            attribute(t, "href").alias("href"),
+        ),
+    )
+    pointing = F.filter(
+        parsed, lambda p: F.when(p["anchor"], p["href"]).otherwise(p["src"]).contains(BOARD_A_HOST)
+    )
+    tokens = F.transform(
+        pointing,
+        lambda p: F.regexp_extract(
+            F.coalesce(null_if_empty(p["src"]), p["href"]), TOKEN_A_TAG, 1
+        ),
     )
     return F.coalesce(
-        F.get(tokens, F.size(tokens) - 1),
+        F.try_element_at(F.filter(tokens, lambda x: x != ""), F.lit(-1)),
         null_if_empty(F.regexp_extract(html, TOKEN_A_ANYWHERE, 1)),
     )
 
@@ -310,13 +319,17 @@ def discover_tokens(pages: DataFrame, board: str) -> DataFrame:
     Board A takes the last script, frame or link that points at the board, else the first mention
     anywhere; board B takes the first mention.
     """
+    html = F.col("html")
     if board == "greenhouse":
-        token = F.when(F.col("html").rlike(r"(?i)greenhouse\.io/"), _token_a(F.col("html")))
+        mentioned, token = html.rlike(r"(?i)greenhouse\.io/"), _token_a(html)
     elif board == "lever":
-        token = null_if_empty(F.regexp_extract("html", TOKEN_B, 1))
+        mentioned, token = html.rlike(TOKEN_B), F.regexp_extract(html, TOKEN_B, 1)
     else:
         raise ValueError(f"unknown board {board!r}")
-    found = pages.select("page_id", "url", token.alias("token"))
+    # Through a generator, so that the test for a missing token does not search the page again.
+    found = pages.filter(mentioned).select(
+        "page_id", "url", F.explode_outer(F.array(token)).alias("token")
+    )
     return found.filter(F.col("token").isNotNull())
 
 
