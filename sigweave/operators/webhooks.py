@@ -17,8 +17,10 @@ def outbox(events: DataFrame, subscriptions: DataFrame, salts: int = 16) -> Data
     A subscription with a list of domains waits under each of them, one without under ``*``; an
     event looks under both.  There are few event names and one domain may have most events, so the
     join key carries a salt that spreads them; the subscriptions are repeated per salt.  Spark may
-    still broadcast the subscriptions where it finds them small.
+    still broadcast the subscriptions where it finds them small; then the events are what sets the
+    parallelism, and as each may fan out widely they are spread by count, not by their size.
     """
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = F.create_map(*[F.lit(x) for pair in EVENT_NAMES.items() for x in pair])
     wanted = (
         subscriptions.filter("is_active")
@@ -31,20 +33,23 @@ def outbox(events: DataFrame, subscriptions: DataFrame, salts: int = 16) -> Data
         .select("subscription_id", "target", "event", F.explode("scopes").alias("scope"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    fired = events.select(
+    named = events.repartition(parts, "domain", "source", "canonical").select(
         names[F.col("event_type")].alias("event"),
         "domain", "source", "canonical", "category",
         F.coalesce("new_confidence", "old_confidence").alias("confidence"),
         "detected_at",
-        F.pmod(F.xxhash64("domain", "source", "canonical"), F.lit(salts)).cast("int").alias("salt"),
-        F.explode(F.array(F.col("domain"), F.lit(ANY_DOMAIN))).alias("scope"),
-    )
-    payload = F.to_json(
-        F.struct("event", "domain", "canonical", "category", "confidence", "detected_at")
     )
+    # The payload is the same for every subscriber, so it is written once, before the fan-out.
+    fired = named.select(
+        "*",
+        F.to_json(
+            F.struct("event", "domain", "canonical", "category", "confidence", "detected_at")
+        ).alias("payload"),
+        F.pmod(F.xxhash64("domain", "source", "canonical"), F.lit(salts)).cast("int").alias("salt"),
+    ).withColumn("scope", F.explode(F.array(F.col("domain"), F.lit(ANY_DOMAIN))))
     return fired.join(wanted, ["event", "scope", "salt"]).select(
         "subscription_id", "target", "event", "domain", "source", "canonical", "category",
-        "confidence", "detected_at", payload.alias("payload"),
+        "confidence", "detected_at", "payload",
     )
 
 
