@@ -5,7 +5,7 @@ one mention per technology: the longest alias found, the first listed on a tie.
 
 ``scan`` (the default) walks each text once with a single regular expression that all aliases
 share, and picks the best alias per technology inside the row: no shuffle, no Python, and the cost
-does not grow with the number of aliases.  ``anchor`` is for a taxonomy too large for that: it
+hardly grows with the number of aliases.  ``anchor`` is for a taxonomy too large for that: it
 joins the distinct words of each text with one word of each alias and verifies the candidates.
 """
 
@@ -17,7 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sigweave.functions.text import WORD_CHAR, posting_text
-from sigweave.sources.taxonomy import Alias, MAX_SCAN_ALIASES, alias_map, load_aliases, resolved
+from sigweave.sources.taxonomy import (
+    MAX_SCAN_ALIASES, Alias, alias_map, load_aliases, resolved, taxonomy_frame,
+)
 
 BEFORE, AFTER = f"(?<!{WORD_CHAR})", f"(?!{WORD_CHAR})"
 
@@ -200,8 +202,6 @@ def mentions(
         found = with_mentions(postings, rows, keep)
     else:
         if not isinstance(taxonomy, DataFrame):
-            from sigweave.sources.taxonomy import taxonomy_frame
-
             taxonomy = taxonomy_frame(postings.sparkSession, taxonomy)
         found = _anchored(postings, taxonomy, keep, key)
     # The outer form, with the empty row dropped after it: for a plain inline the optimizer would
