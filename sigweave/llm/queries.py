@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.llm import chat, exact_dedup, mixing, secret_scan, simhash
+from sigweave.llm import chat, decontaminate, exact_dedup, language, mixing, quality, secret_scan, simhash, toxicity
+from sigweave.llm.subword import held_out
 from sigweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,35 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    kept_back = held_out(F.col("doc_id"), 5, 0)
+    model = language.learn(docs, ~kept_back)
+    rows = docs.select("doc_id", "text", kept_back.alias("held_out"))
+    return language.predicted(rows, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept_back = held_out(F.col("doc_id"), 3, 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.learn(docs, labels.filter(~kept_back))
+    rows = docs.withColumn("held_out", kept_back)
+    return quality.scored(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.learn(docs.select("doc_id", "text"), labels.filter(~held_out(F.col("doc_id"), 5, 0)))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+    scored = toxicity.scored(rows, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit(r"\### Assistant: </turn> ok")
@@ -38,6 +68,18 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.marked(docs, table(spark, sf_dir, "benchmark"))
+    hits = F.col("benchmark_hits")
+    one = lambda h: F.concat_ws(":", *[h[c].cast("string") for c in ("item_id", "start_word", "end_word")])
+    return found.select(
+        "doc_id", (F.size(hits) > 0).alias("contaminated"), F.size(hits).cast("long").alias("n_items"),
+        F.array_sort(hits["item_id"]).alias("item_ids"), F.coalesce(F.array_max(hits["similarity"]), F.lit(0.0)).alias("similarity"),
+        F.concat_ws(",", F.transform(hits, one)).alias("hits"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.with_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -61,7 +103,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix, op6_chat, op8_exact_dedup, op9_simhash, op10_secrets)
+    f.__name__: f
+    for f in (
+        op1_mix, op2_language, op4_quality, op5_toxicity, op6_chat, op7_decontaminate, op8_exact_dedup, op9_simhash, op10_secrets,
+    )
 }
 
 _ESCAPED = r"replace(replace(replace(text, '\', '\0'), '###', '\3'), '</turn>', '\e')"

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigweave.llm.components import components
+from sigweave.llm.hashing import mix, shingles, word_hashes
 from sigweave.llm.tables import added, cut, text_of
 
 SEED = 42
@@ -199,3 +200,90 @@ def near_groups(
     ids = rooted.groupBy("__root").agg(F.min("__first").alias("component_id"))
     of = cut(rooted.join(ids, "__root").select("fp", "component_id"), "groups")
     return marked.join(of, "fp").select(*[F.col(f"`{c}`") for c in marked.columns], "component_id")
+
+
+# Deduplication: candidates by fingerprints, decisions by shingle similarity.
+
+SHINGLE = 5
+#: Independent fingerprints; a pair is a candidate if it is near in any of them.
+PRINTS = 3
+
+
+def _features(texts: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(distinct words, distinct shingles)`` of each text, as hashes."""
+    for at in range(0, len(texts), 512):
+        for words in word_hashes(texts.iloc[at : at + 512].tolist()):
+            yield np.unique(words), np.unique(shingles(words, SHINGLE))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _word_prints(texts: pd.Series) -> pd.Series:
+    salts = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(PRINTS)]
+    return pd.Series([[_signed(majority(mix(words ^ s))) for s in salts] for words, _ in _features(texts)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _shingle_set(texts: pd.Series) -> pd.Series:
+    return pd.Series([s.view(np.int64) for _, s in _features(texts)], dtype=object)
+
+
+def removals(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, sha, stays)``: rows to drop, by key and SHA-256 of the text, each with the key that stays for it.
+
+    Candidates are texts whose fingerprints over distinct words differ in at most three bits, in one
+    of ``PRINTS`` fingerprints: one changed word changes five shingles but one word, so texts of
+    ``least`` shingle similarity are close in their words.  In each group of candidates the smallest
+    key leads; texts with a five-word shingle similarity (shared over all distinct) of ``least`` or
+    more to it go, and the rest of the group goes on among itself until nothing is left.  So each
+    dropped text is that similar to one that stays, and no pairs within a group are made.
+    """
+    sha = F.sha2(text_of(text).cast("binary"), 256)
+    rows = cut(docs.select(F.col(key).alias("key"), sha.alias("sha"), _word_prints(text_of(text)).alias("prints")), "prints")
+    texts = rows.groupBy("sha").agg(F.min("key").alias("key"), F.min("prints").alias("prints"))
+    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    found = None
+    for i in range(PRINTS):
+        by_print = texts.select("node", F.col("prints")[i].alias("fp"))
+        lead = cut(by_print.groupBy("fp").agg(F.min("node").alias("node")), "leads")
+        same = by_print.join(lead.withColumnRenamed("node", "b"), "fp").filter("node != b").select(F.col("node").alias("a"), "b")
+        near = links(lead, MAX_RADIUS).unionByName(same)
+        found = near if found is None else found.unionByName(near)
+    groups = components(found)
+    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "group")
+    members = cut(members.join(texts.select("node", "sha", "key"), "node"), "members")
+    wanted = members.select("node", F.col("sha").alias("of"), "key", "group")
+    sets = docs.select(sha.alias("sha"), text_of(text).alias("text")).join(wanted, F.col("sha") == F.col("of"), "left_semi")
+    sets = sets.groupBy("sha").agg(F.first("text").alias("text")).select("sha", _shingle_set("text").alias("shingles"))
+    left = cut(sets.join(wanted.withColumnRenamed("of", "sha"), "sha"), "sets")
+    gone = None
+    while not left.isEmpty():
+        leader = left.groupBy("group").agg(F.min_by("node", F.struct("key", "sha")).alias("node"))
+        leader = cut(
+            leader.join(left.select("node", F.col("shingles").alias("led"), F.col("key").alias("stays")), "node")
+            .select("group", F.col("node").alias("leads"), "led", "stays"), "leaders",
+        )
+        met = left.join(leader, "group").filter("node != leads")
+        shared = F.size(F.array_intersect("shingles", "led"))
+        alike = shared >= least * (F.size("shingles") + F.size("led") - shared)
+        both_empty = (F.size("shingles") == 0) & (F.size("led") == 0)
+        met = cut(met.select("node", "sha", "key", "group", "shingles", "stays", (alike | both_empty).alias("alike")), "met")
+        new = met.filter("alike").select("sha", "stays")
+        gone = new if gone is None else gone.unionByName(new)
+        left = met.filter("NOT alike").select(*left.columns)
+    if gone is None:
+        gone = texts.limit(0).select("sha", F.col("key").alias("stays"))
+    # Of equal texts the smallest key stands for all; the others go with it or for it.
+    copies = rows.join(texts.select(F.col("sha").alias("s"), F.col("key").alias("first")), F.col("sha") == F.col("s"))
+    copies = copies.join(gone.withColumnRenamed("sha", "g"), F.col("sha") == F.col("g"), "left")
+    copies = copies.withColumn("stays", F.coalesce("stays", "first")).filter(~F.col("stays").eqNullSafe(F.col("key")))
+    return copies.select("key", "sha", "stays").distinct()
+
+
+def deduplicate(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay, columns as in ``docs``: one key of each group of near copies.
+
+    Rows that repeat a key and its text share their fate.  Texts without words are alike.
+    """
+    gone = cut(removals(docs, least, key, text), "gone").select(F.col("key").alias("__key"), F.col("sha").alias("__sha"))
+    sha = F.sha2(text_of(text).cast("binary"), 256)
+    return docs.join(gone, F.col(key).eqNullSafe(F.col("__key")) & (sha == F.col("__sha")), "left_anti")
