@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.llm import chat, decontaminate, exact_dedup, language, mixing, quality, secret_scan, simhash, toxicity
+from sigweave.llm import chat, decontaminate, exact_dedup, language, mixing, quality, secret_scan, simhash, suffix_dedup, toxicity
 from sigweave.llm.subword import held_out
 from sigweave.llm.tables import table
 
@@ -31,6 +31,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(rows, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.without_repeats(docs, 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept_back = held_out(F.col("doc_id"), 3, 1)
@@ -105,7 +110,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_mix, op2_language, op4_quality, op5_toxicity, op6_chat, op7_decontaminate, op8_exact_dedup, op9_simhash, op10_secrets,
+        op1_mix, op2_language, op3_suffix_dedup, op4_quality, op5_toxicity, op6_chat, op7_decontaminate, op8_exact_dedup,
+        op9_simhash, op10_secrets,
     )
 }
 
