@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -227,6 +228,31 @@ def _shingle_set(texts: pd.Series) -> pd.Series:
     return pd.Series([s.view(np.int64) for _, s in _features(texts)], dtype=object)
 
 
+#: A group of candidates this small is finished in one task; a larger one meets its leader in a join first.
+LOCAL_ROWS, LOCAL_SHINGLES = 1_000, 2_000_000
+
+
+def _led(least: float):
+    """The same leader rule as between groups: first come, first to stay."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "sha"], kind="stable")
+        open_ = [(s, k, frozenset(x.tolist())) for s, k, x in zip(rows["sha"], rows["key"], rows["shingles"], strict=True)]
+        out = []
+        while open_:
+            (_, leader, led), rest = open_[0], open_[1:]
+            open_ = []
+            for sha, key, own in rest:
+                shared = len(own & led)
+                if shared >= least * (len(own) + len(led) - shared):
+                    out.append((sha, leader))
+                else:
+                    open_.append((sha, key, own))
+        return pd.DataFrame(out, columns=["sha", "stays"])
+
+    return run
+
+
 def removals(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, sha, stays)``: rows to drop, by key and SHA-256 of the text, each with the key that stays for it.
 
@@ -237,6 +263,7 @@ def removals(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     more to it go, and the rest of the group goes on among itself until nothing is left.  So each
     dropped text is that similar to one that stays, and no pairs within a group are made.
     """
+    spark = docs.sparkSession
     sha = F.sha2(text_of(text).cast("binary"), 256)
     rows = cut(docs.select(F.col(key).alias("key"), sha.alias("sha"), _word_prints(text_of(text)).alias("prints")), "prints")
     texts = rows.groupBy("sha").agg(F.min("key").alias("key"), F.min("prints").alias("prints"))
@@ -255,23 +282,28 @@ def removals(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     sets = docs.select(sha.alias("sha"), text_of(text).alias("text")).join(wanted, F.col("sha") == F.col("of"), "left_semi")
     sets = sets.groupBy("sha").agg(F.first("text").alias("text")).select("sha", _shingle_set("text").alias("shingles"))
     left = cut(sets.join(wanted.withColumnRenamed("of", "sha"), "sha"), "sets")
-    gone = None
-    while not left.isEmpty():
-        leader = left.groupBy("group").agg(F.min_by("node", F.struct("key", "sha")).alias("node"))
+    schema = f"sha string, stays {texts.schema['key'].dataType.simpleString()}"
+    gone = [spark.createDataFrame([], schema)]
+    while True:
+        sizes = left.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("m"))
+        sizes = cut(sizes.withColumn("small", (F.col("n") <= LOCAL_ROWS) & (F.col("m") <= LOCAL_SHINGLES)), "sizes")
+        few = left.join(sizes.filter("small").select("group"), "group")
+        gone.append(cut(few.groupBy("group").applyInPandas(_led(least), schema), "gone"))
+        many = left.join(sizes.filter("NOT small").select("group"), "group")
+        if sizes.filter("NOT small").isEmpty():
+            break
+        leader = many.groupBy("group").agg(F.min_by("node", F.struct("key", "sha")).alias("node"))
         leader = cut(
-            leader.join(left.select("node", F.col("shingles").alias("led"), F.col("key").alias("stays")), "node")
+            leader.join(many.select("node", F.col("shingles").alias("led"), F.col("key").alias("stays")), "node")
             .select("group", F.col("node").alias("leads"), "led", "stays"), "leaders",
         )
-        met = left.join(leader, "group").filter("node != leads")
+        met = many.join(leader, "group").filter("node != leads")
         shared = F.size(F.array_intersect("shingles", "led"))
         alike = shared >= least * (F.size("shingles") + F.size("led") - shared)
-        both_empty = (F.size("shingles") == 0) & (F.size("led") == 0)
-        met = cut(met.select("node", "sha", "key", "group", "shingles", "stays", (alike | both_empty).alias("alike")), "met")
-        new = met.filter("alike").select("sha", "stays")
-        gone = new if gone is None else gone.unionByName(new)
+        met = cut(met.select("node", "sha", "key", "group", "shingles", "stays", alike.alias("alike")), "met")
+        gone.append(met.filter("alike").select("sha", "stays"))
         left = met.filter("NOT alike").select(*left.columns)
-    if gone is None:
-        gone = texts.limit(0).select("sha", F.col("key").alias("stays"))
+    gone = cut(reduce(DataFrame.unionByName, gone), "gone")
     # Of equal texts the smallest key stands for all; the others go with it or for it.
     copies = rows.join(texts.select(F.col("sha").alias("s"), F.col("key").alias("first")), F.col("sha") == F.col("s"))
     copies = copies.join(gone.withColumnRenamed("sha", "g"), F.col("sha") == F.col("g"), "left")
