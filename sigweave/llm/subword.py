@@ -133,7 +133,7 @@ def held_out(key: Column, modulus: int, rest: int) -> Column:
 
 def sampled(labelled: DataFrame, label: str, key: str, s: Settings) -> DataFrame:
     """About ``rows`` rows of each label, chosen by a hash of the key."""
-    n = labelled.groupBy(label).count().withColumnRenamed(label, "__of")
+    n = F.broadcast(labelled.groupBy(label).count().withColumnRenamed(label, "__of"))  # a row per class of the model
     chosen = labelled.join(n, labelled[label] == n["__of"])
     draw = F.pmod(F.xxhash64(F.lit(s.seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return chosen.filter(draw * F.col("count") < s.rows).drop("__of", "count")
