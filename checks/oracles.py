@@ -236,8 +236,8 @@ header_signal AS (
   WHERE value <> '' AND regexp_matches(value, pattern, 'i')),
 generator_tag AS (
   SELECT domain, scraped_at,
-         coalesce(nullif(regexp_extract(left(body, 4096), '<meta[^>]+name=["'']generator["''][^>]+content=["'']([^"'']+)["'']', 1, 'i'), ''),
-                  nullif(regexp_extract(left(body, 4096), '<meta[^>]+content=["'']([^"'']+)["''][^>]+name=["'']generator["'']', 1, 'i'), '')) AS generator
+         coalesce(nullif(regexp_extract(body, '<meta[^>]+name=["'']generator["''][^>]+content=["'']([^"'']+)["'']', 1, 'i'), ''),
+                  nullif(regexp_extract(body, '<meta[^>]+content=["'']([^"'']+)["''][^>]+name=["'']generator["'']', 1, 'i'), '')) AS generator
   FROM capture),
 generator_signal AS (
   SELECT domain, scraped_at, generator, rule_ord, canonical, category, CAST(0.95 AS DOUBLE) AS confidence,
@@ -413,7 +413,7 @@ SELECT page_id, url, title, company, md5(replace(marked, chr(1), '<')) AS descri
 ORACLES["html_job_postings"] = with_(*LINKS, DETAIL) + """
 SELECT l.page_id, pos, coalesce(jk, url) AS posting_id, coalesce(nullif(d.title, ''), l.title) AS title,
        url, md5(replace(marked, chr(1), '<')) AS description_md5
-FROM link l JOIN detail d USING (url) WHERE pos < 15
+FROM link l JOIN detail d USING (url)
 """
 
 ORACLES["html_pagination"] = with_(
@@ -614,7 +614,7 @@ sources AS (
 history AS (
   SELECT domain, count(*) AS history_size, string_agg(event_type || ':' || canonical, '|' ORDER BY rn) AS history
   FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY canonical, event_type, source) AS rn FROM event)
-  WHERE rn <= 100 GROUP BY domain)
+  GROUP BY domain)
 """) + f"""
 SELECT domain, name AS company, {ts("last_scraped")} AS last_scraped, sources_available,
        coalesce(tech_count, 0) AS tech_count, coalesce(technologies, '') AS technologies,
@@ -737,7 +737,7 @@ exported AS (
          scraped_at, job_count
   FROM latest JOIN company USING (domain) JOIN cats USING (domain))
 """]
-EXPORT_ORDER = "ORDER BY scraped_at DESC, domain LIMIT 500"
+EXPORT_ORDER = "ORDER BY scraped_at DESC, domain"
 ORACLES["export_json"] = with_(*EXPORT) + f"""
 SELECT domain, name, technologies, categories, {ts("scraped_at")} AS last_scraped, job_count FROM exported
 WHERE domain IN {domains_with("canonical = 'Python' AND confidence >= 0.6")} {EXPORT_ORDER}
@@ -769,7 +769,6 @@ ORACLES["change_events"] = with_(*EVENTS) + f"SELECT {EVENT_COLUMNS} FROM event"
 ORACLES["change_history"] = with_(*EVENTS) + """
 SELECT domain, rank, event_type, canonical, source FROM (
   SELECT *, row_number() OVER (PARTITION BY domain ORDER BY canonical, event_type, source) AS rank FROM event)
-WHERE rank <= 100
 """
 ORACLES["recent_adopters"] = with_(*EVENTS) + """
 SELECT domain, source FROM event WHERE canonical = 'Kubernetes' AND event_type = 'added'

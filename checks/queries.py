@@ -122,7 +122,7 @@ def html_job_detail(spark, sf):
 
 
 def html_job_postings(spark, sf):
-    links = html.job_links(fx.result_pages(spark, sf), html.MAX_LINKS_PER_COMPANY)
+    links = html.job_links(fx.result_pages(spark, sf))
     details = html.job_details(fx.job_pages(spark, sf))
     return html.job_postings(links, details).select(
         "page_id", "pos", "posting_id", "title", "url", F.md5("description").alias("description_md5")
@@ -463,7 +463,7 @@ def run_totals(spark, sf):
 
 
 def _export(spark, sf, **kw):
-    return export.export_rows(all_snapshots(spark, sf), fx.companies(spark, sf), "enterprise", **kw)
+    return export.export_rows(all_snapshots(spark, sf), fx.companies(spark, sf), **kw)
 
 
 def export_json(spark, sf):

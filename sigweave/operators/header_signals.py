@@ -15,17 +15,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sigweave.sources.registry import HEADER_SOURCE
 from sigweave.sources.rules import GENERATOR_RULES, HEADER_RULES, GeneratorRule, HeaderRule
 
-# Confidence and source name of each kind of signal, and how much of a page is read
-# for the generator tag.
+# Confidence and source name of each kind of signal, and the patterns of the generator tag.
 HEADER_CONFIDENCE, HEADER_SIGNAL = 0.92, "http_headers"
 GENERATOR_CONFIDENCE, GENERATOR_SIGNAL = 0.95, "meta_generator"
-HEAD_CHARS = 4096
-
-_QUOTED = """["']([^"']+)["']"""
-_NAME = """name=["']generator["']"""
 GENERATOR_PATTERNS = (
-    rf"(?i)<meta[^>]+{_NAME}[^>]+content={_QUOTED}",
-    rf"(?i)<meta[^>]+content={_QUOTED}[^>]+{_NAME}",
+    r"""(?i)<meta[^>]+name=["']generator["'][^>]+content=["']([^"']+)["']""",
+    r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+name=["']generator["']""",
 )
 
 
@@ -50,9 +45,8 @@ def header_rows(captures: DataFrame) -> DataFrame:
 
 
 def generator_value(body: Column) -> Column:
-    """Content of the generator tag in the head of a page, null when there is none."""
-    head = F.substring(body, 1, HEAD_CHARS)
-    found = [F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in GENERATOR_PATTERNS]
+    """Content of the generator tag of a page, wherever it stands, null when there is none."""
+    found = [F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in GENERATOR_PATTERNS]
     return F.coalesce(*found)
 
 

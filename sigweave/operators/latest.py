@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-HISTORY_LIMIT = 100
 ADOPTERS_LIMIT = 100
 
 
-def newest(df: DataFrame, key: list[str], *order, n: int = 1, rank: str = "_rank") -> DataFrame:
+def newest(df: DataFrame, key: list[str], *order, n: int | None = 1, rank: str = "_rank") -> DataFrame:
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    return ranked.filter(F.col(rank) <= n)
+    return ranked if n is None else ranked.filter(F.col(rank) <= n)
 
 
 def latest_profile(snapshots: DataFrame) -> DataFrame:
@@ -27,8 +26,8 @@ def latest_by_source(snapshots: DataFrame) -> DataFrame:
     return newest(snapshots, ["domain", "source"], F.desc("scraped_at")).drop("_rank")
 
 
-def change_history(events: DataFrame, n: int = HISTORY_LIMIT) -> DataFrame:
-    """The newest ``n`` change events of each domain, with their rank."""
+def change_history(events: DataFrame, n: int | None = None) -> DataFrame:
+    """The change events of each domain, or the newest ``n``, with their rank."""
     return newest(
         events, ["domain"], F.desc("detected_at"), "canonical", "event_type", "source",
         n=n, rank="rank",

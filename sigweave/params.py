@@ -14,7 +14,6 @@ MIN_CONFIDENCE = 0.6
 PER_PAGE, MAX_PER_PAGE = 25, 100
 MAX_TARGETS = 20
 MAX_QUERY_LENGTH = 100
-MAX_EXPORT_DOMAINS = 500
 EXPORT_CAPS = {"pro": 100, "enterprise": 500}
 REFUSED_PLAN = "starter"
 MAX_SUBSCRIPTION_DOMAINS = 50
@@ -69,12 +68,7 @@ def export_fields(fields: Sequence[str]) -> list[str]:
 
 
 def export_cap(plan: str) -> int:
+    """What a caller may pass as the limit of an export, to hold it to its plan."""
     if plan == REFUSED_PLAN:
         raise PermissionError(f"plan {plan!r} has no bulk export")
     return EXPORT_CAPS["enterprise" if plan == "enterprise" else "pro"]
-
-
-def export_domains(domains: Sequence[str] | None, cap: int) -> list[str]:
-    if domains is not None and len(domains) > MAX_EXPORT_DOMAINS:
-        raise ValueError(f"at most {MAX_EXPORT_DOMAINS} domains")
-    return list(domains or [])[:cap]

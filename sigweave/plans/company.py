@@ -23,6 +23,7 @@ def company_detail(
     category: str | None = None,
     min_confidence: float | None = None,
     events: DataFrame | None = None,
+    history: int | None = None,
 ) -> DataFrame:
     """One row per company with a profile: merged technologies, by category, sources, history.
 
@@ -57,7 +58,7 @@ def company_detail(
     )
     if events is None:
         return detail
-    history = change_history(events).groupBy("domain").agg(
+    past = change_history(events, history).groupBy("domain").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -67,7 +68,7 @@ def company_detail(
             )
         ).alias("h")
     )
-    return detail.join(history, "domain", "left").withColumn(
+    return detail.join(past, "domain", "left").withColumn(
         "history",
         F.transform(F.coalesce("h", F.array()), lambda x: x.dropFields("rank")),
     ).drop("h")

@@ -17,21 +17,19 @@ TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 def export_rows(
     snapshots: DataFrame,
     companies: DataFrame,
-    plan: str,
     domains: Sequence[str] | None = None,
     technology: str | None = None,
     category: str | None = None,
     min_confidence: float = params.MIN_CONFIDENCE,
     fields: Sequence[str] = params.DEFAULT_EXPORT_FIELDS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Newest profiles of companies, newest scrape first, up to the plan's cap."""
-    cap = params.export_cap(plan)
+    """Newest profiles of companies, newest scrape first: all, or the first ``limit``."""
     floor = params.confidence(min_confidence)
     chosen = params.export_fields(fields)
-    listed = params.export_domains(domains, cap)
-    if listed:
+    if domains:
         # Whole domains are kept or dropped, so this may precede the choice of the newest.
-        snapshots = snapshots.filter(F.col("domain").isin(listed))
+        snapshots = snapshots.filter(F.col("domain").isin(list(domains)))
     found = matching_profiles(
         snapshots, uses=[technology] if technology else [], category=category,
         min_confidence=floor,
@@ -45,12 +43,8 @@ def export_rows(
         "last_scraped": F.col("scraped_at"),
         "job_count": F.col("job_count"),
     }
-    return (
-        found.join(companies.select("domain", "name"), "domain")
-        .orderBy(F.desc("scraped_at"), "domain")
-        .limit(cap)
-        .select(*[shaped[f].alias(f) for f in chosen])
-    )
+    rows = found.join(companies.select("domain", "name"), "domain").orderBy(F.desc("scraped_at"), "domain")
+    return (rows if limit is None else rows.limit(limit)).select(*[shaped[f].alias(f) for f in chosen])
 
 
 def write_json(rows: DataFrame, path: str, filters: dict, exported_at: Column) -> None:

@@ -10,14 +10,14 @@ from sigweave.functions.text import round2
 TOP_TECH = 15
 
 
-def run_report(snapshots: DataFrame, companies: DataFrame) -> DataFrame:
+def run_report(snapshots: DataFrame, companies: DataFrame, top_n: int = TOP_TECH) -> DataFrame:
     """One row per scrape: company, counts, profile, by category, and the top technologies.
 
     A domain without a company goes by the domain itself.
     """
     # A stored profile is in confidence order already, so its head is the top.
     top = F.transform(
-        F.slice("tech_profile", 1, TOP_TECH),
+        F.slice("tech_profile", 1, top_n),
         lambda t: F.struct(
             t["canonical"].alias("name"),
             t["category"].alias("category"),

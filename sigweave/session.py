@@ -31,10 +31,12 @@ def build_session(app: str = "sigweave", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is used.
+    Only where that is unset and the session runs on one machine a temporary folder is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sigweave-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

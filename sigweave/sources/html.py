@@ -24,9 +24,6 @@ from sigweave.sources.markup import (
 
 # Site address, and how many links and details are taken by default.
 JOB_SITE = "https://www.indeed.com"
-MAX_LINKS = 50
-MAX_LINKS_PER_COMPANY = 20
-MAX_DETAILS = 15
 
 # How the site's search asks for one employer's jobs, newest first.
 SEARCH_FILTER = "&sc=0kf%3Aattr(DSQF7)%3B&sort=date"
@@ -178,8 +175,8 @@ def _fill_from_cards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch
 
 
-def job_links(pages: DataFrame, max_jobs: int = MAX_LINKS) -> DataFrame:
-    """Job links of result pages, at most ``max_jobs`` a page, with their position.
+def job_links(pages: DataFrame, max_jobs: int | None = None) -> DataFrame:
+    """Job links of result pages with their position: all, or the first ``max_jobs`` of each page.
 
     Pages without a keyed anchor fall back to the links inside job-title elements; only their
     markup goes to Python.
@@ -194,9 +191,8 @@ def job_links(pages: DataFrame, max_jobs: int = MAX_LINKS) -> DataFrame:
     filled = with_rest.mapInPandas(
         _fill_from_cards, f"{_id_type(pages)}, links {_LINK}"
     )
-    return filled.select(
-        "page_id", F.posexplode(F.slice("links", 1, max_jobs)).alias("pos", "link")
-    ).select("page_id", "pos", "link.*")
+    links = F.col("links") if max_jobs is None else F.slice("links", 1, max_jobs)
+    return filled.select("page_id", F.posexplode(links).alias("pos", "link")).select("page_id", "pos", "link.*")
 
 
 def _id_type(pages: DataFrame) -> str:
@@ -237,8 +233,8 @@ def job_details(pages: DataFrame) -> DataFrame:
     )
 
 
-def job_postings(links: DataFrame, details: DataFrame, n: int = MAX_DETAILS) -> DataFrame:
-    """Postings of a job site: the first ``n`` links of a page that have a detail page.
+def job_postings(links: DataFrame, details: DataFrame, n: int | None = None) -> DataFrame:
+    """Postings of a job site: the links of a page (the first ``n`` if given) that have a detail page.
 
     ``details`` has one row per url.
     """
@@ -247,7 +243,7 @@ def job_postings(links: DataFrame, details: DataFrame, n: int = MAX_DETAILS) ->
         "url", F.col("title").alias("detail_title"), "description", F.col("company").alias("page_company")
     )
     return (
-        links.filter(F.col("pos") < n)
+        (links if n is None else links.filter(F.col("pos") < n))
         .join(d, "url")
         .select(
             "page_id",

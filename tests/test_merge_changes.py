@@ -98,7 +98,8 @@ def test_history_and_adopters(spark, t):
     df = spark.createDataFrame(
         rows, "domain string, source string, event_type string, canonical string, category string,"
         " old_confidence double, new_confidence double, detected_at timestamp")
-    history = latest.change_history(df).collect()
+    assert latest.change_history(df).count() == 150
+    history = latest.change_history(df, 100).collect()
     assert len(history) == 100
     assert min(r.detected_at for r in history) >= sorted((r[7] for r in rows), reverse=True)[99]
     assert [r.domain for r in latest.recent_adopters(df, "T005").collect()] == ["a.com"]

@@ -60,14 +60,12 @@ def test_search_arguments(data):
         with pytest.raises(ValueError):
             search.search_stack(snaps, comps, **bad)
     for call in (lambda: params.sorting("id", "asc"), lambda: params.sorting("name", "up"),
-                 lambda: params.search_text("x" * 101), lambda: params.export_fields(["secret"]),
-                 lambda: params.export_domains(["d"] * 501, 100)):
+                 lambda: params.search_text("x" * 101), lambda: params.export_fields(["secret"])):
         with pytest.raises(ValueError):
             call()
     with pytest.raises(PermissionError):
         params.export_cap("starter")
     assert (params.export_cap("pro"), params.export_cap("enterprise"), params.export_cap("other")) == (100, 500, 100)
-    assert len(params.export_domains(["d"] * 300, 100)) == 100
     assert params.sources(" lever, bogus ,html_headers") == ["lever", "html_headers"]
     assert params.sources("bogus") == []
 
@@ -124,16 +122,16 @@ def test_deep_pages_are_taken_past_the_limit(spark, monkeypatch):
 
 def test_export_rows(data):
     snaps, comps = data
-    rows = export.export_rows(snaps, comps, "pro", fields=params.EXPORT_FIELDS).collect()
+    rows = export.export_rows(snaps, comps, fields=params.EXPORT_FIELDS).collect()
     assert [r.domain for r in rows] == ["empty.com", "stripe.com", "b.com", "c.com"]
     stripe = rows[1]
     assert stripe.technologies == "React, TypeScript, Go, PostgreSQL"
     assert stripe.categories == {"frontend": ["React"], "language": ["TypeScript", "Go"], "database": ["PostgreSQL"]}
     assert rows[2].technologies == "Go"
-    picked = export.export_rows(snaps, comps, "pro", technology="Go", domains=["b.com", "c.com"], fields=["name"])
+    picked = export.export_rows(snaps, comps, technology="Go", domains=["b.com", "c.com"], fields=["name"])
     assert picked.columns == ["name"] and [r.name for r in picked.collect()] == ['B_X, "Inc"']
     with pytest.raises(PermissionError):
-        export.export_rows(snaps, comps, "starter")
+        export.export_rows(snaps, comps, limit=params.export_cap("starter"))
 
 
 def read_text(path, suffix):
@@ -142,7 +140,7 @@ def read_text(path, suffix):
 
 def test_csv_sink_and_lines_agree(data, spark, tmp_path):
     snaps, comps = data
-    rows = export.export_rows(snaps, comps, "pro", fields=params.EXPORT_FIELDS).coalesce(1)
+    rows = export.export_rows(snaps, comps, fields=params.EXPORT_FIELDS).coalesce(1)
     export.write_csv(rows, str(tmp_path / "csv"))
     text = read_text(tmp_path / "csv", "csv")
     lines = [r.line for r in export.csv_lines(rows).collect()]
@@ -163,7 +161,7 @@ def test_csv_cells(spark, tmp_path):
 
 def test_json_envelope(data, spark, tmp_path):
     snaps, comps = data
-    rows = export.export_rows(snaps, comps, "pro", technology="React")
+    rows = export.export_rows(snaps, comps, technology="React")
     export.write_json(rows, str(tmp_path / "j"), {"technology": "React", "category": None, "min_confidence": 0.6},
                       F.lit("2024-02-01"))
     header = json.loads(read_text(tmp_path / "j" / "header", "json"))
@@ -180,3 +178,11 @@ def test_report(data, spark, tmp_path):
     stripe = next(r for r in results if r["job_count"] == 42)
     assert stripe["company_name"] == "Stripe"
     assert [t["name"] for t in stripe["top_tech"]] == ["React", "TypeScript", "Go", "PostgreSQL"]
+
+
+def test_export_is_whole_unless_limited(data):
+    snaps, comps = data[:2]
+    whole = export.export_rows(snaps, comps).count()
+    assert whole > 1 and export.export_rows(snaps, comps, limit=1).count() == 1
+    many = [f"d{i}.com" for i in range(600)] + [r.domain for r in comps.collect()]
+    assert export.export_rows(snaps, comps, domains=many).count() == whole

@@ -96,7 +96,7 @@ def test_details(spark):
     assert (rows[1].title, rows[1].description, rows[1].company) == ("Plain", "AbC", "")
 
 
-def test_postings_take_the_first_links_with_details(spark):
+def test_postings_take_all_or_the_first_links_with_details(spark):
     links = spark.createDataFrame(
         [(1, i, f"u{i}", f"t{i}", f"k{i}" if i % 2 else None) for i in range(20)],
         "page_id int, pos int, url string, title string, jk string")
@@ -104,7 +104,9 @@ def test_postings_take_the_first_links_with_details(spark):
         [(9, f"u{i}", "" if i == 2 else f"d{i}", "text", "") for i in (1, 2, 16)],
         "page_id int, url string, title string, description string, company string")
     rows = {r.pos: r for r in html.job_postings(links, details).collect()}
-    assert {p: (r.posting_id, r.title) for p, r in rows.items()} == {1: ("k1", "d1"), 2: ("u2", "t2")}
+    first = {1: ("k1", "d1"), 2: ("u2", "t2")}
+    assert {p: (r.posting_id, r.title) for p, r in rows.items()} == first | {16: ("u16", "d16")}
+    assert {r.pos for r in html.job_postings(links, details, 15).collect()} == set(first)
 
 
 def test_pagination(spark):
