@@ -109,6 +109,48 @@ def test_near_dedup_keeps_one_of_each_group_and_all_else(spark):
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def shingle_set(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similarity(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def edited_pairs(seed, n, least):
+    """Texts of 300 words and an edited copy of each: words added at the end, a block replaced, words scattered over it replaced."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(5_000))
+    for how in ("appended", "block", "scattered"):
+        for _ in range(n):
+            text, m = [word() for _ in range(300)], 0
+            best = text
+            while True:
+                m += 1
+                if how == "appended":
+                    new = text + [word() for _ in range(m)]
+                elif how == "block":
+                    new = text[:100] + [word() for _ in range(m)] + text[100 + m :]
+                else:
+                    new = [word() if i % 19 == 5 and i // 19 < m else w for i, w in enumerate(text)]
+                if similarity(" ".join(text), " ".join(new)) < least or new == best:
+                    break
+                best = new
+            yield how, " ".join(text), " ".join(best)
+
+
+def test_near_dedup_finds_every_pair_at_the_threshold(spark):
+    pairs = [p for least in (0.8, 0.85, 0.9) for p in edited_pairs(int(100 * least), 8, least)]
+    texts = [t for _, a, b in pairs for t in (a, b)]
+    found = {r.key for r in simhash.removals(spark.createDataFrame(rows_of(*texts), ODD)).collect()}
+    assert found == set(range(1, len(texts), 2))
+    below = [(a, b[:-1] + " x y z w") for how, a, b in edited_pairs(7, 8, 0.8) if how == "appended"]
+    assert all(similarity(a, b) < 0.8 for a, b in below)
+    assert simhash.removals(spark.createDataFrame(rows_of(*[t for p in below for t in p]), ODD)).count() == 0
+
+
 def without(rows, n):
     count = Counter()
     for _, t in rows:
