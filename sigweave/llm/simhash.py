@@ -13,7 +13,6 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -320,37 +319,12 @@ def alike_groups(docs: DataFrame, texts: DataFrame, least: float, text: str = "t
         low, high = high, MORE * high
 
 
-#: A group of candidates this small is finished in one task; a larger one meets its leader in a join first.
-LOCAL_ROWS, LOCAL_SHINGLES = 1_000, 2_000_000
-
-
-def _led(least: float):
-    """The same leader rule as between groups: first come, first to stay."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "sha"], kind="stable")
-        open_ = [(s, k, frozenset(x.tolist())) for s, k, x in zip(rows["sha"], rows["key"], rows["shingles"], strict=True)]
-        out = []
-        while open_:
-            (_, leader, led), rest = open_[0], open_[1:]
-            open_ = []
-            for sha, key, own in rest:
-                shared = len(own & led)
-                if shared >= least * (len(own) + len(led) - shared):
-                    out.append((sha, leader))
-                else:
-                    open_.append((sha, key, own))
-        return pd.DataFrame(out, columns=["sha", "stays"])
-
-    return run
-
-
 def removals(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, sha, stays)``: rows to drop, by key and SHA-256 of the text, each with the key that stays for it.
 
-    Groups are linked by all pairs of texts with a five-word shingle similarity (shared over all
-    distinct) of ``least`` or more.  In each group the smallest key leads; texts with that
-    similarity to it go, and the rest of the group goes on among itself until nothing is left.
+    Texts are linked if their five-word shingle similarity (shared over all distinct) is ``least``
+    or more.  Of the texts linked over any steps the row with the smallest key stays, and of equal
+    keys the one with the smallest SHA-256.
     """
     spark = docs.sparkSession
     sha = F.sha2(text_of(text).cast("binary"), 256)
@@ -359,43 +333,17 @@ def removals(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     texts = rows.groupBy("sha").agg(F.min("key").alias("key"), F.first("prefix").alias("prefix"))
     texts = cut(texts.select(F.monotonically_increasing_id().alias("node"), "sha", "key", "prefix.*"), "texts")
     groups = alike_groups(docs, texts, least, text)
-    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "group")
-    members = cut(members.join(texts.select("node", "sha", "key"), "node"), "members")
-    wanted = members.select("node", F.col("sha").alias("of"), "key", "group")
-    sets = docs.select(sha.alias("sha"), text_of(text).alias("text")).join(wanted, F.col("sha") == F.col("of"), "left_semi")
-    sets = sets.groupBy("sha").agg(F.first("text").alias("text")).select("sha", _shingle_set("text").alias("shingles"))
-    left = cut(sets.join(wanted.withColumnRenamed("of", "sha"), "sha"), "sets")
-    schema = f"sha string, stays {texts.schema['key'].dataType.simpleString()}"
-    gone = [spark.createDataFrame([], schema)]
-    while True:
-        sizes = left.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("m"))
-        sizes = cut(sizes.withColumn("small", (F.col("n") <= LOCAL_ROWS) & (F.col("m") <= LOCAL_SHINGLES)), "sizes")
-        few = left.join(sizes.filter("small").select("group"), "group")
-        gone.append(cut(few.groupBy("group").applyInPandas(_led(least), schema), "gone"))
-        many = left.join(sizes.filter("NOT small").select("group"), "group")
-        if sizes.filter("NOT small").isEmpty():
-            break
-        leader = many.groupBy("group").agg(F.min_by("node", F.struct("key", "sha")).alias("node"))
-        leader = cut(
-            leader.join(many.select("node", F.col("shingles").alias("led"), F.col("key").alias("stays")), "node")
-            .select("group", F.col("node").alias("leads"), "led", "stays"), "leaders",
-        )
-        met = many.join(leader, "group").filter("node != leads")
-        shared = F.size(F.array_intersect("shingles", "led"))
-        alike = shared >= least * (F.size("shingles") + F.size("led") - shared)
-        met = cut(met.select("node", "sha", "key", "group", "shingles", "stays", alike.alias("alike")), "met")
-        gone.append(met.filter("alike").select("sha", "stays"))
-        left = met.filter("NOT alike").select(*left.columns)
-    gone = cut(reduce(DataFrame.unionByName, gone), "gone")
-    # Of equal texts the smallest key stands for all; the others go with it or for it.
-    copies = rows.join(texts.select(F.col("sha").alias("s"), F.col("key").alias("first")), F.col("sha") == F.col("s"))
-    copies = copies.join(gone.withColumnRenamed("sha", "g"), F.col("sha") == F.col("g"), "left")
-    copies = copies.withColumn("stays", F.coalesce("stays", "first")).filter(~F.col("stays").eqNullSafe(F.col("key")))
-    return copies.select("key", "sha", "stays").distinct()
+    rooted = texts.select("node", "sha", "key").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(rooted.select("root", "sha", "key"), "rooted")
+    first = rooted.groupBy("root").agg(F.min(F.struct("key", "sha")).alias("first"))
+    stays = cut(rooted.join(first, "root").select(F.col("sha").alias("of"), "first"), "stays")
+    every = rows.join(stays, F.col("sha") == F.col("of"))
+    stay = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("sha") == F.col("first.sha"))
+    return every.filter(~stay).select("key", "sha", F.col("first.key").alias("stays")).distinct()
 
 
 def deduplicate(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, columns as in ``docs``: one key of each group of near copies.
+    """The rows that stay, columns as in ``docs``: one key of each group of texts linked over any steps.
 
     Rows that repeat a key and its text share their fate.  Texts without words are alike.
     """

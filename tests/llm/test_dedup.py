@@ -151,6 +151,17 @@ def test_near_dedup_finds_every_pair_at_the_threshold(spark):
     assert simhash.removals(spark.createDataFrame(rows_of(*[t for p in below for t in p]), ODD)).count() == 0
 
 
+def test_near_dedup_keeps_the_smallest_key_of_linked_texts(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10_000)}"
+    base = [word() for _ in range(200)]
+    copies = [base[:at] + [word() for _ in range(12)] + base[at + 12 :] for at in range(10, 190, 8)]
+    texts = [" ".join(w) for w in copies] + [" ".join(base)] + [" ".join(word() for _ in range(50))]
+    assert all(similarity(t, texts[-2]) >= 0.8 for t in texts[:-2]) and similarity(texts[0], texts[9]) < 0.8
+    got = simhash.removals(spark.createDataFrame(rows_of(*texts), ODD)).collect()
+    assert {r.key: r.stays for r in got} == dict.fromkeys(range(1, len(texts) - 1), 0)
+
+
 def without(rows, n):
     count = Counter()
     for _, t in rows:
