@@ -19,11 +19,11 @@ class Term:
 
 
 def default_edits(text: str) -> int:
-    return 0 if len(text) < 5 else 1 if len(text) < 9 else 2
+    return 0 if len(text) < 4 else 1 if len(text) < 9 else 2
 
 
 class Automaton:
-    """Finds the terms that a word begins with, misspelled or not; the first character must be right."""
+    """Finds the terms that a word begins with, misspelled or not, at any character."""
 
     def __init__(self, terms: list[Term]):
         self.terms = terms
@@ -42,12 +42,11 @@ class Automaton:
                 node = self.children[node][c]
             self.edits[node] = max(self.edits[node], term.edits)
             self.ends[node] = number
-        start = frozenset({(0, 0)})
+        start = self._closed({(0, 0)})
         self.states: list[frozenset[tuple[int, int]]] = [start]
         self.known = {start: 0}
         self.moves: list[dict[str, int]] = [{}]
         self.matches: list[tuple[int, int] | None] = [None]
-        self.first = frozenset(self.children[0])
 
     def _closed(self, state: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         """With the characters of terms that the word left out."""
@@ -68,10 +67,9 @@ class Automaton:
         for node, spent in self.states[state]:
             if c in self.children[node]:
                 after.add((self.children[node][c], spent))
-            if node:  # the first character is never an edit
-                if spent < self.edits[node]:
-                    after.add((node, spent + 1))
-                after.update((child, spent + 1) for child in self.children[node].values() if spent < self.edits[child])
+            if spent < self.edits[node]:
+                after.add((node, spent + 1))
+            after.update((child, spent + 1) for child in self.children[node].values() if spent < self.edits[child])
         closed = self._closed(after) if after else frozenset()
         if closed not in self.known:
             self.known[closed] = len(self.states)

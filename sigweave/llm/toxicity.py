@@ -27,6 +27,8 @@ from sigweave.llm.tables import added, cut, text_of
 
 RESULT = ("score", "predicted")
 WORDS = re.compile(r"\w+")
+#: Words with symbols before or between them: one may stand for a character.
+MASKED = re.compile(r"\w*(?:[^\w\s\"“”«»„]+\w+)+")
 QUOTED = re.compile(r"\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|«[^»\n]{0,300}»|„[^“”\n]{0,300}[“”]")
 # Words that, shortly before a term, tell that it is mentioned rather than used.
 REPORTING = frozenset("said says called calls word term quote quoted insult sagte wort nannte dijo palabra dit mot".split())
@@ -104,29 +106,40 @@ class Reader:
 
     def __init__(self, terms: list[Term], odds: list[float]):
         self.automaton, self.odds = Automaton(terms), odds
+        self.longest = max((len(t.text) + t.edits for t in terms), default=0)
         self.seen: dict[str, tuple[int, int] | None] = {}
 
     def match(self, word: str) -> tuple[int, int] | None:
-        if word[0] not in self.automaton.first:
-            return None
         if word not in self.seen:
             if len(self.seen) >= self.REMEMBER:
                 self.seen.clear()
             self.seen[word] = self.automaton.match(word)
         return self.seen[word]
 
+    def masked(self, low: str) -> dict[int, tuple[int, int]]:
+        """``(edits, term)`` by the place of a word that fits a term with the symbols around it: st*pid, $tupid."""
+        out = {}
+        for token in MASKED.finditer(low):
+            for word in WORDS.finditer(token[0]):
+                at = word.start()
+                read = [self.match(token[0][a : a + self.longest]) for a in {at, max(at - 1, 0)}]
+                if any(read):
+                    out[token.start() + at] = min(m for m in read if m)
+        return out
+
     def hits(self, text: str | None) -> tuple[list[tuple[int, int, int, bool]], int]:
         """``(word number, term, edits, quoted)`` of each hit, and the number of words."""
         low = (text or "").lower()
         words = WORDS.findall(low)
         found = {w: m for w in set(words) if (m := self.match(w)) is not None}
-        if not found:
+        masked = self.masked(low)
+        if not found and not masked:
             return [], len(words)
         quotes = [m.span() for m in QUOTED.finditer(low)]
         out = []
         for i, m in enumerate(WORDS.finditer(low)):
-            if m[0] in found:
-                edits, term = found[m[0]]
+            if m[0] in found or m.start() in masked:
+                edits, term = min(x for x in (found.get(m[0]), masked.get(m.start())) if x is not None)
                 told = any(w in REPORTING for w in words[max(0, i - 3) : i])
                 out.append((i, term, edits, told or any(a < m.start() < b for a, b in quotes)))
         return out, len(words)

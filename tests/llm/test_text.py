@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from checks.compare import compare, connect
 from sigweave.llm import chat, language, mixing, quality, secret_scan, toxicity
-from sigweave.llm.lexicon import Automaton, Term
+from sigweave.llm.lexicon import Automaton, Term, default_edits
 from sigweave.llm.queries import ORACLES, QUERIES
 from sigweave.llm.subword import held_out
 
@@ -111,6 +111,17 @@ def test_automaton_equals_edit_distance():
         assert (got and got[0]) == (want and want[0]), (word, got, want)
 
 
+def test_first_characters_symbols_and_short_terms_may_be_misspelled():
+    terms = [Term(t, default_edits(t)) for t in ("idiot", "stupid", "scum", "worthless")]
+    reader = toxicity.Reader(terms, [1.0] * len(terms))
+    for word in "1diot ldiot diot xidiot riot tupid scam cum orthles vvorthless the ot".split():
+        least = [(min(edits(word[:n], t.text) for n in range(1, len(word) + 1)), i) for i, t in enumerate(terms)]
+        want = min((x for x in least if x[0] <= terms[x[1]].edits), default=None)
+        assert reader.match(word) == want, word
+    for text, term in {"$tupid": 1, "you ($tupid)": 1, "st*pid!": 1, "a sc*m": 2, "**idiot**": 0, "so/1d*ot": None, "fine-day": None, "w*rthl*ss": 3}.items():
+        assert {h[1] for h in reader.hits(text)[0]} == ({term} - {None}), text
+
+
 def test_chats_round_trip(spark):
     rows = [
         (1, 1, "assistant", "####</tur\\"), (1, 0, "user", "a###b\\3</turn>\n\\e"), (2, 0, "assistant", None), (2, 1, None, "x\n:\nb"),
