@@ -324,7 +324,7 @@ def removals(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
 
     Texts are linked if their five-word shingle similarity (shared over all distinct) is ``least``
     or more.  Of the texts linked over any steps the row with the smallest key stays, and of equal
-    keys the one with the smallest SHA-256.
+    keys the one with the smallest SHA-256; a null key comes after all others.
     """
     spark = docs.sparkSession
     sha = F.sha2(text_of(text).cast("binary"), 256)
@@ -335,7 +335,7 @@ def removals(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     groups = alike_groups(docs, texts, least, text)
     rooted = texts.select("node", "sha", "key").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut(rooted.select("root", "sha", "key"), "rooted")
-    first = rooted.groupBy("root").agg(F.min(F.struct("key", "sha")).alias("first"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "sha")).alias("first"))
     stays = cut(rooted.join(first, "root").select(F.col("sha").alias("of"), "first"), "stays")
     every = rows.join(stays, F.col("sha") == F.col("of"))
     stay = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("sha") == F.col("first.sha"))

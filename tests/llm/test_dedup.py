@@ -162,6 +162,14 @@ def test_near_dedup_keeps_the_smallest_key_of_linked_texts(spark):
     assert {r.key: r.stays for r in got} == dict.fromkeys(range(1, len(texts) - 1), 0)
 
 
+def test_near_dedup_of_null_keys(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text), (7, text + " x"), (None, "a b"), (None, text + " y"), (None, "\n"), (None, "")]
+    docs = spark.createDataFrame([(i, t, 7, "x", 1, "y") for i, t in rows], ODD)
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicate(docs).collect()]
+    assert (7, text + " x") in kept and (None, "a b") in kept and len(kept) == 3
+
+
 def without(rows, n):
     count = Counter()
     for _, t in rows:
