@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -158,7 +160,9 @@ def _anchored(
             ).alias("_maybe")
         )
     )
-    return texts.join(candidates, list(key)).select(
+    candidates = candidates.select(*[F.col(c).alias(f"_of_{c}") for c in key], "_maybe")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key])
+    return texts.join(candidates, same).select(
         *keep,
         F.array_sort(
             F.filter(
@@ -187,7 +191,7 @@ def mentions(
     """One row per posting and technology: ``keep``, canonical, category, raw_mention, alias_ord.
 
     ``auto`` scans while the taxonomy has at most ``MAX_SCAN_ALIASES`` aliases and joins beyond.
-    ``key`` must identify a posting; only the join needs it.
+    ``key`` must identify a posting, nulls being equal; only the join needs it.
     """
     if strategy not in ("auto", "scan", "anchor"):
         raise ValueError(f"unknown strategy {strategy!r}")

@@ -60,6 +60,16 @@ def test_cases(spark, strategy):
         assert got == brute_force(text or ""), text
 
 
+def test_strategies_agree_on_null_keys(spark):
+    rows = [("a", 1, "react"), ("a", None, "python and react"), (None, None, "docker"), (None, None, "react")]
+    df = spark.createDataFrame([(d, i, "", x) for d, i, x in rows], "domain string, posting_id int, title string, description string")
+    scan, anchor = (
+        sorted(map(str, mentions(df, taxonomy_frame(spark), how, keep=("domain", "posting_id"), key=("domain", "posting_id")).collect()))
+        for how in ("scan", "anchor")
+    )
+    assert scan == anchor and len(scan) == 5
+
+
 def test_longest_alias_is_kept_once(spark):
     assert extract(spark, ["React React React reactjs react.js"])[0]["React"] == "react.js"
 
