@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.llm import chat, decontaminate, exact_dedup, language, mixing, quality, secret_scan, simhash, suffix_dedup, toxicity
+from sigweave.llm import (
+    chat, decontaminate, exact_dedup, language, mixing, prefix_trie, quality, secret_scan, simhash, suffix_dedup, toxicity,
+)
 from sigweave.llm.subword import held_out
 from sigweave.llm.tables import table
 
@@ -107,17 +109,64 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.conversations(turns)))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_mix, op2_language, op3_suffix_dedup, op4_quality, op5_toxicity, op6_chat, op7_decontaminate, op8_exact_dedup,
-        op9_simhash, op10_secrets,
+        op9_simhash, op10_secrets, op11_prefix_trie,
     )
 }
 
 _ESCAPED = r"replace(replace(replace(text, '\', '\0'), '###', '\3'), '</turn>', '\e')"
 
+# CRC-32 of the decimal digits of c, bit by bit.
+_CRC32 = """xor(list_reduce(
+        list_concat([4294967295::UBIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::UBIGINT)),
+        lambda a, b: list_reduce(
+            list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+            lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)
+    ), 4294967295::UBIGINT)"""
+
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": rf"""
+        WITH said AS (
+            SELECT conv_id AS c, [coalesce(role, ''), coalesce(text, '')] AS said,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+                len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), chats AS (
+            SELECT c, list(said ORDER BY k) AS said, list(words ORDER BY k) AS words, {_CRC32} % 4 AS h FROM said GROUP BY c
+        ), whole AS (
+            SELECT o.c,
+                list_concat(coalesce(b.said[1:o.h], []), o.said[o.h + 1:]) AS said,
+                list_concat(coalesce(b.words[1:o.h], []), o.words[o.h + 1:]) AS words
+            FROM chats o LEFT JOIN chats b ON b.c = o.c - o.c % 20
+        ), paths AS (
+            SELECT c, len(said) AS n, words,
+                list_transform(range(0, len(said) + 1), lambda d: sha256(CAST(said[1:d] AS VARCHAR) || chr(10) || d)) AS ids
+            FROM whole
+        ), members AS (SELECT c, n, words, ids, unnest(range(0, n + 1)) AS depth FROM paths
+        ), nodes AS (
+            SELECT ids[depth + 1] AS id, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs,
+                any_value(CASE WHEN depth > 0 THEN ids[depth] END) AS parent, arg_min(ids, c)[1:any_value(depth) + 1] AS above,
+                any_value(CASE WHEN depth > 0 THEN words[depth] ELSE 0 END) AS words,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = n), '')) AS ends_sha256
+            FROM members GROUP BY ids[depth + 1]
+        ), children AS (SELECT parent AS id, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+        ), sums AS (
+            SELECT id, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM (
+                SELECT unnest(above) AS id, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * words AS saved
+                FROM nodes LEFT JOIN children USING (id)
+            ) GROUP BY id
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+            CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums USING (id) LEFT JOIN children USING (id) LEFT JOIN nodes p ON p.id = n.parent""",
     "op6_chat": rf"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
