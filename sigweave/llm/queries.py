@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigweave.llm import (
     chat, decontaminate, exact_dedup, language, mixing, prefix_trie, quality, secret_scan, simhash, suffix_dedup, toxicity,
+    whitening,
 )
 from sigweave.llm.subword import held_out
 from sigweave.llm.tables import table
@@ -114,11 +115,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.conversations(turns)))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whitened(vectors).select("vec_id", *whitening.RESULT)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_mix, op2_language, op3_suffix_dedup, op4_quality, op5_toxicity, op6_chat, op7_decontaminate, op8_exact_dedup,
-        op9_simhash, op10_secrets, op11_prefix_trie,
+        op9_simhash, op10_secrets, op11_prefix_trie, op12_whitening,
     )
 }
 
