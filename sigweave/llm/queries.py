@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigweave.llm import (
-    chat, decontaminate, exact_dedup, language, mixing, prefix_trie, quality, secret_scan, simhash, suffix_dedup, toxicity,
-    whitening,
+    chat, decontaminate, exact_dedup, language, mixing, prefix_trie, private_data, quality, secret_scan, simhash,
+    suffix_dedup, toxicity, whitening,
 )
 from sigweave.llm.subword import held_out
 from sigweave.llm.tables import table
@@ -120,11 +120,21 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(vectors).select("vec_id", *whitening.RESULT)
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    base = F.filter("pii", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in private_data.KINDS],
+        _hex(private_data.joined(base)).alias("base_sha256"), private_data.joined(F.col("pii")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_mix, op2_language, op3_suffix_dedup, op4_quality, op5_toxicity, op6_chat, op7_decontaminate, op8_exact_dedup,
-        op9_simhash, op10_secrets, op11_prefix_trie, op12_whitening,
+        op9_simhash, op10_secrets, op11_prefix_trie, op12_whitening, op13_private_data,
     )
 }
 
