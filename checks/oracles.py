@@ -823,6 +823,40 @@ fresh AS (
   UNION ALL SELECT domain, source, canonical, category, confidence FROM header_pt)
 """, diff("old_pt", "fresh")) + f"SELECT {EVENT_COLUMNS} FROM event"
 
+STORED = f"""
+first_run AS (SELECT * FROM snap WHERE scraped_at < {SPLIT}),
+second_run AS (
+  SELECT * FROM snap WHERE scraped_at >= {SPLIT}
+  UNION ALL
+  SELECT domain, source, scraped_at, 0, count(*), string_agg(canonical, '|' ORDER BY tech_ord)
+  FROM header_pt GROUP BY domain, source, scraped_at)
+"""
+ORACLES["refresh_companies"] = with_(*SNAPSHOTS, CAPTURE, STORED) + f"""
+SELECT domain, CASE WHEN domain LIKE 'site%' THEN replace(replace(domain, 'site', 'Site '), '.example.com', '')
+                    ELSE upper(replace(domain, '.example.com', '')) END AS name,
+       {ts(f"CASE WHEN domain IN (SELECT domain FROM first_run) THEN {SPLIT} ELSE {NOW} END")} AS created_at,
+       {ts(f"CASE WHEN domain IN (SELECT domain FROM second_run) THEN {NOW} ELSE {SPLIT} END")} AS updated_at
+FROM (SELECT domain FROM first_run UNION SELECT domain FROM second_run)
+"""
+ORACLES["refresh_profiles"] = with_(*PROFILES, VERSIONS, SNAPSHOT, CAPTURE, STORED, """
+fresh AS (
+  SELECT domain, source, canonical, category, confidence FROM new_pt
+  UNION ALL SELECT domain, source, canonical, category, confidence FROM header_pt)
+""", diff("old_pt", "fresh"), f"""
+logged AS (
+  SELECT domain, source, count(*) AS events FROM (
+    SELECT domain, source FROM event UNION ALL SELECT domain, source FROM old_pt) GROUP BY domain, source),
+both_runs AS (
+  SELECT *, {NOW} AS updated FROM second_run
+  UNION ALL
+  SELECT *, {SPLIT} FROM first_run f
+  WHERE NOT EXISTS (SELECT 1 FROM second_run s WHERE s.domain = f.domain AND s.source = f.source))
+""") + f"""
+SELECT {FLAT_SNAP}, {ts(f"CASE WHEN (domain, source) IN (SELECT (domain, source) FROM first_run) THEN {SPLIT} ELSE {NOW} END")} AS created_at,
+       {ts("updated")} AS updated_at, events
+FROM both_runs LEFT JOIN logged USING (domain, source)
+"""
+
 # -- usage ----------------------------------------------------------------------------------
 
 ORACLES["monthly_usage"] = with_(LOG) + f"""

@@ -17,10 +17,11 @@ from sigweave.operators import (
     billing, changes, header_signals as hs, latest, merge, profile, runs, upsert, usage, webhooks,
 )
 from sigweave.operators.mentions import mentions
-from sigweave.plans import company, export, refresh, report, search
+from sigweave.plans import company, current, export, refresh, report, search
 from sigweave.session import shared_dir
 from sigweave.sources import boards, html, registry
 from sigweave.sources.taxonomy import Alias, alias_map, taxonomy_frame
+from sigweave.sources.store import Store
 from sigweave.streaming import changes as change_streams, rates as rate_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -577,6 +578,35 @@ def refresh_(spark, sf):
     return _flat_events(result.events)
 
 
+def _refreshed(spark, sf) -> Store:
+    """Two runs over an empty store, the second of them repeated; no domain is in the registry."""
+    store = Store(spark, shared_dir(spark, "store"), buckets=8)
+    old, new = versions(fx.postings(spark, sf))
+    registry, captures = fx.registry(spark, sf), fx.captures(spark, sf)
+    current.refresh_store(store, "old", old, None, registry, fx.ALIASES, F.lit(fx.SPLIT).cast("timestamp"))
+    for _ in range(2):
+        current.refresh_store(store, "new", new, captures, registry, fx.ALIASES, fx.now())
+    return store
+
+
+def refresh_companies(spark, sf):
+    """The companies after the runs, from the tables they wrote."""
+    return current.current_companies(_refreshed(spark, sf)).select(
+        "domain", "name", ts("created_at").alias("created_at"), ts("updated_at").alias("updated_at")
+    )
+
+
+def refresh_profiles(spark, sf):
+    """The current profiles after the runs, with the number of events the runs logged for each."""
+    store = _refreshed(spark, sf)
+    logged = current.change_log(store).groupBy("domain", "source").agg(F.count("*").alias("events"))
+    return current.current_profiles(store).join(logged, ["domain", "source"], "left").select(
+        "domain", "source", ts("scraped_at").alias("scraped_at"), "job_count", "tech_count",
+        joined(pf.names_of(F.col("tech_profile"))).alias("technologies"),
+        ts("created_at").alias("created_at"), ts("updated_at").alias("updated_at"), "events",
+    )
+
+
 # -- usage ----------------------------------------------------------------------------------
 
 def monthly_usage(spark, sf):
@@ -676,7 +706,8 @@ QUERIES: dict[str, Query] = {
         search_excludes, search_category, search_count, search_matched, search_page,
         search_second_page, example_uses, run_report, run_totals, export_json, export_domains,
         export_category, export_csv, change_events, confidence_changes, change_history,
-        recent_adopters, change_stream, upsert_company, upsert_profile, refresh_, monthly_usage,
+        recent_adopters, change_stream, upsert_company, upsert_profile, refresh_, refresh_companies,
+        refresh_profiles, monthly_usage,
         quota_breach, rate_windows, rate_stream, request_stats, plan_state, webhook_outbox,
         key_hashes, delivery_health, run_summary, run_errors,
     )

@@ -30,6 +30,26 @@ def fresh_profiles(
     return fresh
 
 
+def scraped_names(
+    domains: DataFrame, postings: DataFrame | None, captures: DataFrame | None, registry: DataFrame
+) -> DataFrame:
+    """domain, name and ord for upserting the companies of ``domains``, listed in the registry or not.
+
+    The name is the one of the newest scrape that has one (``company_name``, where the inputs have
+    it), else the registry's last, else the domain.
+    """
+    scraped = [df for df in (postings, captures) if df is not None and "company_name" in df.columns]
+    listed = registry.groupBy("domain").agg(F.max_by("company_name", "ord").alias("listed"))
+    named = domains.join(listed, "domain", "left").withColumn("scraped", F.lit(None).cast("string"))
+    if scraped:
+        seen = [df.select("domain", "company_name", "scraped_at").filter("company_name is not null") for df in scraped]
+        rows = seen[0] if len(seen) == 1 else seen[0].unionByName(seen[1])
+        # Ties fall to the last name, so the result does not hang on the order of rows.
+        newest = rows.groupBy("domain").agg(F.max(F.struct("scraped_at", "company_name"))["company_name"].alias("scraped"))
+        named = named.drop("scraped").join(newest, "domain", "left")
+    return named.select("domain", F.coalesce("scraped", "listed", "domain").alias("name"), F.lit(0).alias("ord"))
+
+
 def refresh(
     fresh: DataFrame,
     registry: DataFrame,
@@ -37,17 +57,20 @@ def refresh(
     profiles: DataFrame,
     now: Column,
     confidence_changes: bool = False,
+    postings: DataFrame | None = None,
+    captures: DataFrame | None = None,
 ) -> Refresh:
     """New versions of the company and profile tables, and the change events of a batch.
 
     ``fresh`` are ``profile_tech`` rows with one scrape per (domain, source); ``registry`` has
-    domain, company_name and ord; ``companies`` and ``profiles`` are the stored tables.
+    domain, company_name and ord; ``companies`` and ``profiles`` are the stored tables.  Company names
+    come from ``postings`` and ``captures``, where given; the registry names the rest.
     """
     touched = fresh.select("domain").distinct()
-    named = registry.select("domain", F.col("company_name").alias("name"), "ord")
-    batch = named.join(touched, "domain", "left_semi")
+    scrapes = [df for df in (postings, captures) if df is not None]
+    names = scraped_names(touched, *(scrapes + [None, None])[:2], registry)
     return Refresh(
-        upsert_company(companies, batch, now),
+        upsert_company(companies, names, now),
         upsert_profile(profiles, snapshot(fresh), now),
         change_events(unnest(profiles), fresh, now, confidence_changes),
     )
@@ -72,6 +95,7 @@ def run_refresh(
     """
     fresh_path = f"{out}/profile_tech/run={run_id}"
     fresh_profiles(postings, captures, aliases).write.mode("overwrite").parquet(fresh_path)
-    result = refresh(spark.read.parquet(fresh_path), registry, companies, profiles, now)
+    fresh = spark.read.parquet(fresh_path)
+    result = refresh(fresh, registry, companies, profiles, now, postings=postings, captures=captures)
     for name, table in result._asdict().items():
         table.write.mode("overwrite").parquet(f"{out}/{name}/run={run_id}")

@@ -32,6 +32,10 @@ SNAPSHOT = (
     f" tech_profile array<{PROFILE_ENTRY}>"
 )
 
+STORED_PROFILE = f"{SNAPSHOT}, created_at timestamp, updated_at timestamp"
+
+COMPANY = "domain string, name string, created_at timestamp, updated_at timestamp"
+
 CHANGE_EVENT = (
     "domain string, source string, event_type string, canonical string, category string,"
     " old_confidence double, new_confidence double, detected_at timestamp"
