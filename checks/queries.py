@@ -534,7 +534,7 @@ def change_stream(spark, sf):
             spark, f"{base}/snapshots", f"{base}/events", f"{base}/checkpoint"
         )
         query.awaitTermination()
-    return _flat_events(spark.read.parquet(f"{base}/events"))
+    return _flat_events(change_streams.settled(spark.read.parquet(f"{base}/events")))
 
 
 def upsert_company(spark, sf):
