@@ -11,16 +11,19 @@ EVENT_NAMES = {
 ANY_DOMAIN = "*"
 
 
-def outbox(events: DataFrame, subscriptions: DataFrame, salts: int = 16) -> DataFrame:
+#: Events of one name and scope that meet the subscriptions in one group.
+EVENTS_PER_SALT = 50_000
+
+
+def outbox(events: DataFrame, subscriptions: DataFrame, per_salt: int = EVENTS_PER_SALT) -> DataFrame:
     """One row per event and active subscription that wants it, with its JSON payload.
 
     A subscription with a list of domains waits under each of them, one without under ``*``; an
     event looks under both.  There are few event names and one domain may have most events, so the
-    join key carries a salt that spreads them; the subscriptions are repeated per salt.  Spark may
-    still broadcast the subscriptions where it finds them small; then the events are what sets the
-    parallelism, and as each may fan out widely they are spread by count, not by their size.
+    events under each (name, scope) are counted, and one with many is split into as many salts as
+    its count asks for; only the subscriptions waiting there are repeated per salt.  No group holds
+    a fixed share of all events, and scopes without events drop out before the fan-out.
     """
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = F.create_map(*[F.lit(x) for pair in EVENT_NAMES.items() for x in pair])
     wanted = (
         subscriptions.filter("is_active")
@@ -31,23 +34,31 @@ def outbox(events: DataFrame, subscriptions: DataFrame, salts: int = 16) -> Data
             F.coalesce(F.array_distinct("domains"), F.array(F.lit(ANY_DOMAIN))).alias("scopes"),
         )
         .select("subscription_id", "target", "event", F.explode("scopes").alias("scope"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    named = events.repartition(parts, "domain", "source", "canonical").select(
+    named = events.select(
         names[F.col("event_type")].alias("event"),
         "domain", "source", "canonical", "category",
         F.coalesce("new_confidence", "old_confidence").alias("confidence"),
         "detected_at",
     )
+    scopes = F.explode(F.array(F.col("domain"), F.lit(ANY_DOMAIN))).alias("scope")
+    # One row a map task and key is shuffled for the counts, whatever the skew.
+    counts = named.select("event", scopes).groupBy("event", "scope").agg(
+        F.ceil(F.count(F.lit(1)) / per_salt).cast("int").alias("salts")
+    )
+    hot = counts.filter("salts > 1")
+    waiting = wanted.join(counts, ["event", "scope"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     # The payload is the same for every subscriber, so it is written once, before the fan-out.
     fired = named.select(
         "*",
         F.to_json(
             F.struct("event", "domain", "canonical", "category", "confidence", "detected_at")
         ).alias("payload"),
-        F.pmod(F.xxhash64("domain", "source", "canonical"), F.lit(salts)).cast("int").alias("salt"),
-    ).withColumn("scope", F.explode(F.array(F.col("domain"), F.lit(ANY_DOMAIN))))
-    return fired.join(wanted, ["event", "scope", "salt"]).select(
+    ).select("*", scopes).join(hot, ["event", "scope"], "left")
+    spread = F.pmod(F.xxhash64("domain", "source", "canonical"), F.coalesce("salts", F.lit(1))).cast("int")
+    return fired.withColumn("salt", spread).join(
+        waiting.drop("salts"), ["event", "scope", "salt"]
+    ).select(
         "subscription_id", "target", "event", "domain", "source", "canonical", "category",
         "confidence", "detected_at", "payload",
     )
