@@ -203,7 +203,7 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = texts(spark, sf_dir, "pages", "page_id")
     i, s = F.col("page_id"), F.col("page_id").cast("string")
     keyed = F.concat(
-        F.lit('<a class="x" data-jk="k" href="/rc/clk?jk=ab'), s, F.lit('&amp;from=x"><b>Data</b> &amp; Web '),
+        F.lit('<a class="x" data-jk="k" href="/rc/clk?jk=ab'), s, F.lit('&amp;from=x"><b>Data</b> &amp; Web D&eacute;v &#233;&ndash;R&#x27;D &copy &amp;lt; '),
         s, F.lit('</a><a id="job_1" href="https://jobs.example.com/v?jk=cd'), s,
         F.lit("\"> Dev\n</a><a id='job_2' href='/nokey'>No key</a><a data-jk='z' href='/rc/clk?jk=ef'>  </a>"),
     )
@@ -327,6 +327,32 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of the log, some deactivated, and keys that no request names."""
+    c = load(spark, sf_dir, "customer").filter("c_custkey % 50 = 0")
+    idle = c.select(
+        F.concat(F.lit("idle-"), F.col("c_custkey").cast("string")).alias("key_id"),
+        F.when(F.col("c_custkey") % 100 != 0, F.lit(50)).alias("monthly_limit"), F.lit(None).cast("boolean").alias("is_active"),
+    )
+    active = F.substring("key_id", 5, 20).cast("bigint") % 7 != 0
+    return api_keys(spark, sf_dir).select("key_id", "monthly_limit", active.alias("is_active")).unionByName(idle)
+
+
+def quiet_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two postings each, without any technology, of companies that have no others."""
+    c = load(spark, sf_dir, "customer").filter("c_custkey % 50 = 0")
+    return c.select("c_custkey", "c_name", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("i")).select(
+        F.concat(F.replace(F.lower("c_name"), F.lit("#"), F.lit("-")), F.lit(".example.com")).alias("domain"),
+        F.col("c_name").alias("company_name"),
+        F.lit("lever").alias("source"),
+        day(F.col("c_custkey") % 5).alias("scraped_at"),
+        F.concat_ws("-", F.lit("q"), F.col("c_custkey").cast("string"), F.col("i").cast("string")).alias("posting_id"),
+        F.col("i").cast("bigint").alias("pos"),
+        F.lit("Zzz").alias("title"),
+        F.lit("zz zzz").alias("description"),
+    )
+
+
 def billing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     i, kind = F.col("event_id"), F.col("event_type")

@@ -345,7 +345,7 @@ result_page AS (
            '<h2 class="big jobTitle"><span><a href="/viewjob?n=' || page_id || '">Card ' || page_id
            || '</a></span></h2><div data-testid="job-title"><a href="https://jobs.example.com/c/' || page_id || '">Other</a></div>'
          ELSE
-           '<a class="x" data-jk="k" href="/rc/clk?jk=ab' || page_id || '&amp;from=x"><b>Data</b> &amp; Web ' || page_id
+           '<a class="x" data-jk="k" href="/rc/clk?jk=ab' || page_id || '&amp;from=x"><b>Data</b> &amp; Web D&eacute;v &#233;&ndash;R&#x27;D &copy &amp;lt; ' || page_id
            || '</a><a id="job_1" href="https://jobs.example.com/v?jk=cd' || page_id || '"> Dev' || chr(10)
            || '</a><a id=''job_2'' href=''/nokey''>No key</a><a data-jk=''z'' href=''/rc/clk?jk=ef''>  </a>' END
          || CASE WHEN page_id % 2 = 0 THEN
@@ -358,7 +358,8 @@ result_page AS (
 
 def anchors(html: str, pattern: str, name: str) -> str:
     """Anchors inside what ``pattern`` matches, with address and text."""
-    text = trimmed(replaced("regexp_replace(a, '<[^>]*>', '', 'g')", ("&amp;", "&")))
+    known = [("&eacute;", "é"), ("&#233;", "é"), ("&ndash;", "–"), ("&#x27;", "'"), ("&copy ", "© "), ("&amp;", "&")]
+    text = trimmed(replaced("regexp_replace(a, '<[^>]*>', '', 'g')", *known))
     href = replaced("regexp_extract(a, 'href=[\"'']([^\"'']*)[\"'']', 1)", ("&amp;", "&"))
     return f"""
 {name} AS (
@@ -569,8 +570,15 @@ WHERE rank <= 15
 ORACLES["profile_totals"] = with_(*SNAPSHOTS) + """
 SELECT count(*) AS profiles, CAST(sum(tech_count) AS BIGINT) AS tech_signals FROM snap
 """
-ORACLES["run_totals"] = with_(*SNAPSHOTS) + """
-SELECT count(*) AS total_companies, CAST(sum(job_count) AS BIGINT) AS total_jobs FROM snap
+QUIET = f"""
+quiet AS (
+  SELECT c_name AS name, replace(lower(c_name), '#', '-') || '.example.com' AS domain, 'lever' AS source,
+         {day("c_custkey % 5")} AS scraped_at, 2 AS job_count
+  FROM customer WHERE c_custkey % 50 = 0)
+"""
+ORACLES["run_totals"] = with_(*SNAPSHOTS, QUIET) + """
+SELECT count(*) AS total_companies, CAST(sum(job_count) AS BIGINT) AS total_jobs
+FROM (SELECT job_count FROM snap UNION ALL SELECT job_count FROM quiet)
 """
 ORACLES["merge_profiles"] = with_(*PROFILES, merged("pt", "m")) + f"""
 SELECT domain, canonical, category, confidence, sources, job_mention_count, job_mention_frequency,
@@ -718,7 +726,7 @@ WHERE first_entry OR own_entry
 # -- report, export -------------------------------------------------------------------------
 
 ORACLES["run_report"] = with_(
-    *SNAPSHOTS, COMPANY, by_category("pt", "domain, source, scraped_at", "tech_ord", "cats"), f"""
+    *SNAPSHOTS, COMPANY, by_category("pt", "domain, source, scraped_at", "tech_ord", "cats"), QUIET, f"""
 top AS (
   SELECT domain, source, scraped_at, string_agg({ENTRY}, '|' ORDER BY tech_ord) AS tech_profile,
          string_agg(canonical || ':' || category || ':' || printf('%.2f', confidence) || ':' || job_mention_count, '|'
@@ -727,6 +735,8 @@ top AS (
 """) + f"""
 SELECT name AS company_name, {SCRAPE}, job_count, tech_count, tech_profile, by_category, top_tech
 FROM snap JOIN company USING (domain) JOIN cats USING (domain, source, scraped_at) JOIN top USING (domain, source, scraped_at)
+UNION ALL
+SELECT name, {SCRAPE}, job_count, 0, '', '', '' FROM quiet
 """
 
 EXPORT = [
@@ -859,11 +869,24 @@ FROM both_runs LEFT JOIN logged USING (domain, source)
 
 # -- usage ----------------------------------------------------------------------------------
 
-ORACLES["monthly_usage"] = with_(LOG) + f"""
-SELECT key_id, {ts("month")} AS month, requests, monthly_limit, greatest(0, monthly_limit - requests) AS remaining,
+ORACLES["monthly_usage"] = with_(LOG, """
+every_key AS (
+  SELECT key_id, monthly_limit, CAST(substr(key_id, 5) AS BIGINT) % 7 <> 0 AS is_active FROM api_key
+  UNION ALL
+  SELECT 'idle-' || c_custkey, CASE WHEN c_custkey % 100 <> 0 THEN 50 END, true FROM customer WHERE c_custkey % 50 = 0),
+accepted AS (
+  SELECT key_id, monthly_limit, ts, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month FROM (
+    SELECT *, row_number() OVER (PARTITION BY key_id, date_trunc('month', ts) ORDER BY ts, request_id) AS n
+    FROM log JOIN every_key USING (key_id) WHERE is_active)
+  WHERE n <= monthly_limit)
+""") + f"""
+SELECT key_id, {ts("month")} AS month, requests, monthly_limit,
+       CASE WHEN monthly_limit IS NOT NULL THEN greatest(0, monthly_limit - requests) END AS remaining,
        {ts("month + INTERVAL 1 MONTH")} AS reset_at, {ts("last_used_at")} AS last_used_at
-FROM (SELECT key_id, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, count(*) AS requests, max(ts) AS last_used_at
-      FROM log GROUP BY ALL) JOIN api_key USING (key_id)
+FROM (SELECT key_id, month, monthly_limit, count(ts) AS requests, max(ts) AS last_used_at
+      FROM (SELECT key_id, month, monthly_limit FROM accepted
+            UNION SELECT key_id, date_trunc('month', {NOW}), monthly_limit FROM every_key)
+      LEFT JOIN accepted USING (key_id, month, monthly_limit) GROUP BY ALL)
 """
 ORACLES["quota_breach"] = with_(LOG) + f"""
 SELECT request_id, key_id, {ts("ts")} AS ts, monthly_limit FROM (
@@ -931,6 +954,7 @@ FROM event JOIN sub
   ON (everywhere OR domain = d1 OR domain = d2)
  AND ((event_type = 'added' AND kind IN (0, 2)) OR (event_type = 'removed' AND kind IN (1, 2)))
 """
+ORACLES["outbox_stream"] = ORACLES["webhook_outbox"]
 ORACLES["delivery_health"] = with_("""
 log AS (SELECT 'sub-' || user_id AS subscription_id, ts, event_type <> 'error' AS ok FROM events),
 good AS (SELECT subscription_id, max(ts) AS ok_ts FROM log WHERE ok GROUP BY subscription_id)

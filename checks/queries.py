@@ -22,7 +22,7 @@ from sigweave.session import shared_dir
 from sigweave.sources import boards, html, registry
 from sigweave.sources.taxonomy import Alias, alias_map, taxonomy_frame
 from sigweave.sources.store import Store
-from sigweave.streaming import changes as change_streams, rates as rate_streams
+from sigweave.streaming import changes as change_streams, outbox as outbox_streams, rates as rate_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -443,8 +443,14 @@ def example_uses(spark, sf):
 
 # -- report, export -------------------------------------------------------------------------
 
+def _scrapes(spark, sf) -> DataFrame:
+    """Every scrape of a run, also those without technology."""
+    postings = fx.postings(spark, sf).unionByName(fx.quiet_postings(spark, sf))
+    return profile.snapshot(profile.tech_profile(postings, fx.ALIASES, keep_empty=True))
+
+
 def run_report(spark, sf):
-    r = report.run_report(all_snapshots(spark, sf), fx.companies(spark, sf))
+    r = report.run_report(_scrapes(spark, sf), fx.companies(spark, sf))
     return r.select(
         "company_name", "domain", "source", ts("scraped_at").alias("scraped_at"), "job_count", "tech_count",
         entries_text("tech_profile").alias("tech_profile"),
@@ -460,7 +466,7 @@ def run_report(spark, sf):
 
 
 def run_totals(spark, sf):
-    return report.run_totals(all_snapshots(spark, sf))
+    return report.run_totals(_scrapes(spark, sf))
 
 
 def _export(spark, sf, **kw):
@@ -610,7 +616,7 @@ def refresh_profiles(spark, sf):
 # -- usage ----------------------------------------------------------------------------------
 
 def monthly_usage(spark, sf):
-    return usage.monthly_usage(fx.request_log(spark, sf), fx.api_keys(spark, sf)).select(
+    return usage.monthly_usage(fx.request_log(spark, sf), fx.all_keys(spark, sf), fx.now()).select(
         "key_id", ts("month").alias("month"), "requests", "monthly_limit", "remaining",
         ts("reset_at").alias("reset_at"), ts("last_used_at").alias("last_used_at"),
     )
@@ -652,13 +658,29 @@ def plan_state(spark, sf):
     return billing.plan_state(fx.api_keys(spark, sf), fx.billing_events(spark, sf))
 
 
-def webhook_outbox(spark, sf):
-    return webhooks.outbox(events(spark, sf), fx.subscriptions(spark, sf)).select(
+def _flat_outbox(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "subscription_id", "target", "event", "domain", "source", "canonical", "category", "confidence",
         F.md5("payload").alias("payload_md5"),
     )
 
 
+def webhook_outbox(spark, sf):
+    return _flat_outbox(webhooks.outbox(events(spark, sf), fx.subscriptions(spark, sf)))
+
+
+def outbox_stream(spark, sf):
+    """The change events landed as files in two parts, streamed into the outbox."""
+    base = shared_dir(spark, "outbox-stream")
+    told = events(spark, sf)
+    for part in (told.filter("event_type = 'added'"), told.filter("event_type <> 'added'")):
+        part.write.mode("append").parquet(f"{base}/events")
+        outbox_streams.start_outbox_stream(
+            spark, f"{base}/events", lambda: fx.subscriptions(spark, sf), f"{base}/out", f"{base}/checkpoint"
+        ).awaitTermination()
+    return _flat_outbox(spark.read.parquet(f"{base}/out"))
+
+
 def key_hashes(spark, sf):
     return fx.api_keys(spark, sf).select("key_id", key_hash(F.col("key_id")).alias("key_hash"))
 
@@ -709,6 +731,7 @@ QUERIES: dict[str, Query] = {
         recent_adopters, change_stream, upsert_company, upsert_profile, refresh_, refresh_companies,
         refresh_profiles, monthly_usage,
         quota_breach, rate_windows, rate_stream, request_stats, plan_state, webhook_outbox,
+        outbox_stream,
         key_hashes, delivery_health, run_summary, run_errors,
     )
 }

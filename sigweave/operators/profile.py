@@ -68,9 +68,12 @@ def mention_rollup(mentions: DataFrame, aliases: Sequence[Alias]) -> DataFrame:
     )
 
 
-def tech_profile(postings: DataFrame, aliases: Sequence[Alias]) -> DataFrame:
+def tech_profile(postings: DataFrame, aliases: Sequence[Alias], keep_empty: bool = False) -> DataFrame:
     """The profile of each scrape's postings, one row per technology.
 
+    With ``keep_empty`` each scrape keeps a row without a technology, so that ``snapshot`` has one for
+    scrapes that found none, too; for a report of a run, not for storing.
+
     One pass over the texts: every posting also emits a marker row without a technology, so the
     number of postings falls out of the same map-side aggregation as the mention counts.  After
     it a scrape has at most one row per technology, which bounds the window.
@@ -91,7 +94,7 @@ def tech_profile(postings: DataFrame, aliases: Sequence[Alias]) -> DataFrame:
         counted.withColumn(
             "job_count", F.max(F.when(F.col("canonical").isNull(), F.col("n"))).over(scrape)
         )
-        .filter(F.col("canonical").isNotNull())
+        .filter(F.lit(keep_empty) | F.col("canonical").isNotNull())
         .select(
             *SCRAPE, "canonical", "category",
             F.lit(SIGNAL_WEIGHTS[POSTING_SIGNAL]).alias("confidence"),
@@ -100,7 +103,7 @@ def tech_profile(postings: DataFrame, aliases: Sequence[Alias]) -> DataFrame:
             round2(F.col("n") / F.col("job_count")).alias("job_mention_frequency"),
             F.col("job_count").cast("int").alias("job_count"),
             F.row_number()
-            .over(scrape.orderBy("first_pos", "first_alias"))
+            .over(scrape.orderBy(F.col("canonical").isNull(), "first_pos", "first_alias"))
             .alias("tech_ord"),
         )
     )
@@ -149,8 +152,8 @@ def snapshot(profile_tech: DataFrame) -> DataFrame:
     )
     nested = profile_tech.groupBy(*SCRAPE).agg(
         F.max("job_count").alias("job_count"),
-        F.count("*").cast("int").alias("tech_count"),
-        F.array_sort(F.collect_list(entry)).alias("entries"),
+        F.count("canonical").cast("int").alias("tech_count"),
+        F.array_sort(F.collect_list(F.when(F.col("canonical").isNotNull(), entry))).alias("entries"),
     )
     return nested.select(
         *SCRAPE, "job_count", "tech_count",

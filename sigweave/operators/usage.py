@@ -6,7 +6,7 @@ One key may own a large share of the log.  Counts have a map-side half; where an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Limit per minute of a key that states none.
 DEFAULT_PER_MINUTE = 60
@@ -16,16 +16,55 @@ def month_start(col: str = "ts"):
     return F.date_trunc("month", F.col(col))
 
 
-def monthly_usage(log: DataFrame, keys: DataFrame) -> DataFrame:
-    """Requests, remaining quota, reset time and last use per key and calendar month."""
-    used = log.groupBy("key_id", month_start().alias("month")).agg(
-        F.count("*").alias("requests"), F.max("ts").alias("last_used_at")
+def _active(keys: DataFrame) -> Column:
+    """Whether a key's requests are let in at all; keys that do not say are active."""
+    return F.coalesce(F.col("is_active"), F.lit(True)) if "is_active" in keys.columns else F.lit(True)
+
+
+def monthly_usage(log: DataFrame, keys: DataFrame, now: Column | None = None) -> DataFrame:
+    """Accepted requests, remaining quota, reset time and last accepted use per key and calendar month.
+
+    Requests over the quota are refused and do not count, nor do those of a deactivated key or of no
+    key; a key without a limit has none to reach, and no remaining number.  Every key has a row for the month of ``now``, where given, used or not.  The request that
+    reaches a limit is looked up in its own minute; all else comes from counts per minute, so a key
+    with most of the log is no task of its own.
+    """
+    limits = keys.select("key_id", "monthly_limit", _active(keys).alias("active"))
+    minute = F.date_trunc("minute", F.col("ts"))
+    so_far = Window.partitionBy("key_id", month_start("minute")).orderBy("minute")
+    per_minute = (
+        log.groupBy("key_id", minute.alias("minute"))
+        .agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+        .join(limits.filter("active"), "key_id")
+        .withColumn("total", F.sum("n").over(so_far))
+    )
+    before = F.col("total") - F.col("n")
+    reaching = per_minute.filter((F.col("total") >= F.col("monthly_limit")) & (before < F.col("monthly_limit"))).select(
+        "key_id", "minute", (F.col("monthly_limit") - before).alias("needed")
+    )
+    within = Window.partitionBy("key_id", "minute").orderBy("ts")
+    reached = (
+        log.select("key_id", "ts", minute.alias("minute"))
+        .join(reaching, ["key_id", "minute"])
+        .withColumn("position", F.row_number().over(within))
+        .filter(F.col("position") == F.col("needed"))
+        .select("key_id", month_start().alias("month"), F.col("ts").alias("reached_at"))
+    )
+    used = (
+        per_minute.groupBy("key_id", month_start("minute").alias("month"))
+        .agg(F.sum("n").alias("asked"), F.max("last").alias("last"))
+        .join(reached, ["key_id", "month"], "left")
     )
-    return used.join(keys.select("key_id", "monthly_limit"), "key_id").select(
+    if now is not None:
+        every = keys.select("key_id", F.date_trunc("month", now).alias("month"))
+        used = used.join(every, ["key_id", "month"], "full_outer")
+    accepted = F.least(F.coalesce("asked", F.lit(0)), F.greatest("monthly_limit", F.lit(0)))
+    limited = F.col("monthly_limit").isNotNull()
+    return used.join(limits, "key_id").withColumn("requests", F.when(limited, accepted).otherwise(F.coalesce("asked", F.lit(0)))).select(
         "key_id", "month", "requests", "monthly_limit",
-        F.greatest(F.lit(0), F.col("monthly_limit") - F.col("requests")).alias("remaining"),
+        F.when(limited, F.greatest(F.lit(0), F.col("monthly_limit") - F.col("requests"))).alias("remaining"),
         F.add_months("month", 1).cast("timestamp").alias("reset_at"),
-        "last_used_at",
+        F.when(F.col("requests") > 0, F.coalesce("reached_at", "last")).alias("last_used_at"),
     )
 
 

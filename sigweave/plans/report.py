@@ -13,6 +13,9 @@ TOP_TECH = 15
 def run_report(snapshots: DataFrame, companies: DataFrame, top_n: int = TOP_TECH) -> DataFrame:
     """One row per scrape: company, counts, profile, by category, and the top technologies.
 
+    ``snapshots`` holds a row for scrapes without a technology, too (``tech_profile`` with
+    ``keep_empty``); they count in the totals like the others.
+
     A domain without a company goes by the domain itself.
     """
     # A stored profile is in confidence order already, so its head is the top.

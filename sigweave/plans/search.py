@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,7 +32,8 @@ def company_list(
     text = params.search_text(q)
     chosen = companies
     if text:
-        pattern = f"%{text.lower()}%"
+        # A backslash takes the next character as it is; before an ordinary one it says nothing.
+        pattern = re.sub(r"(?s)\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], f"%{text.lower()}%")
         chosen = companies.filter(
             F.lower("domain").like(pattern) | F.lower("name").like(pattern)
         )

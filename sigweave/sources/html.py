@@ -86,7 +86,7 @@ def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in an opening tag: null when absent, empty when it has no value."""
     pairs = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))
     pair = F.get(F.filter(pairs, lambda p: p.rlike(rf"(?i)\A{name}\s*=")), F.lit(0))
-    return decode_entities(F.regexp_replace(pair, r"""(?s)\A[^=]*=\s*["']?|["']\z""", ""))
+    return decode_entities(F.regexp_replace(pair, r"""(?s)\A[^=]*=\s*["']?|["']\z""", ""), attribute=True)
 
 
 def _has_attribute(tag: Column, name: str) -> Column:

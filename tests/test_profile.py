@@ -106,3 +106,15 @@ def test_scores(spark):
         0.75, ["job_listing", "html_headers"], ["a1", "a2"])
     assert rows["B"].confidence == 0.99
     assert rows["C"].confidence == 0.5
+
+
+def test_scrapes_without_technology_are_in_the_report(spark, t):
+    from sigweave.plans import report
+
+    rows = postings(spark, t, [("Dev", "React")]).unionByName(postings(spark, t, [("x", "zz"), ("y", "zz")], domain="b.com"))
+    snapshots = p.snapshot(p.tech_profile(rows, ALIASES, keep_empty=True))
+    assert report.run_totals(snapshots).first().asDict() == {"total_companies": 2, "total_jobs": 3}
+    companies = spark.createDataFrame([("a.com", "A")], "domain string, name string")
+    got = {r.company_name: (r.job_count, r.tech_count, len(r.tech_profile), r.top_tech) for r in report.run_report(snapshots, companies).collect()}
+    assert got["b.com"] == (2, 0, 0, []) and got["A"][:3] == (1, 1, 1)
+    assert p.snapshot(p.tech_profile(rows, ALIASES)).count() == 1

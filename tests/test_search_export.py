@@ -186,3 +186,13 @@ def test_export_is_whole_unless_limited(data):
     assert whole > 1 and export.export_rows(snaps, comps, limit=1).count() == 1
     many = [f"d{i}.com" for i in range(600)] + [r.domain for r in comps.collect()]
     assert export.export_rows(snaps, comps, domains=many).count() == whole
+
+
+def test_a_backslash_in_the_search_text_takes_the_next_character_as_it_is(spark, t):
+    companies = spark.createDataFrame(
+        [(d, n, t(1), t(1)) for d, n in (("a.com", "ab"), ("b.com", "a%b"), ("c.com", "a\\b"), ("d.com", "x%"))],
+        "domain string, name string, created_at timestamp, updated_at timestamp")
+    none = spark.createDataFrame([], SNAPSHOT)
+    found = lambda q: sorted(domains(search.company_list(companies, none, q=q)))
+    assert found("a\\b") == ["a.com"] and found("a\\%b") == ["b.com"] and found("a%b") == ["a.com", "b.com", "c.com"]
+    assert found("a\\\\b") == ["c.com"] and found("x\\") == ["d.com"]

@@ -1,6 +1,8 @@
+import html
+
 from pyspark.sql import functions as F
 
-from sigweave.functions.text import strip_html, valid_domain
+from sigweave.functions.text import decode_entities, strip_html, valid_domain
 from sigweave.operators import header_signals as hs
 
 
@@ -95,3 +97,20 @@ def test_a_generator_tag_counts_wherever_it_stands(spark):
     body = "x" * 10_000 + '<meta name="generator" content="WordPress 6.1">'
     row = spark.createDataFrame([(body,)], "body string").select(generator_value(F.col("body")).alias("g")).first()
     assert row.g == "WordPress 6.1"
+
+
+def test_entities_decode_as_html_defines_them(spark):
+    cases = [
+        "D&eacute;v &#233; &ndash; R&#x27;D", "&amp;lt;", "&lt", "&notit; &notin; &not", "&copyright &copy=1", "&#0;&#128;&#x9F;&#129;&#xD800;&#1114112;",
+        "&#1;&#11;&#13;&#xFFFE;&#64976;&#127;", "&#99999999999999999999;&#x0000000041;", "&#x1F600;\U0001f600&#128512", "&unknown; & &; &# &#x;", "a&b=c",
+        "&CounterClockwiseContourIntegral;&NotEqualTilde;&fjlig;", "", "plain", "&&amp;&amp", "&nbsp;x&hellip",
+    ]
+    df = spark.createDataFrame([(c,) for c in cases] + [(None,)], "s string")
+    got = [r.d for r in df.select(F.col("s"), decode_entities(F.col("s")).alias("d")).collect()]
+    assert got == [html.unescape(c) for c in cases] + [None]
+
+
+def test_names_in_addresses_need_a_semicolon(spark):
+    cases = {"?a=1&copy=2&lt;&amp;x&reg": "?a=1&copy=2<&x®", "&copyright=1&eacute;": "&copyright=1é", "&#233&para.": "é¶."}
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    assert [r.d for r in df.select(decode_entities(F.col("s"), attribute=True).alias("d")).collect()] == list(cases.values())

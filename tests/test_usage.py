@@ -3,8 +3,11 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from sigweave.operators import billing, runs, usage, webhooks
+from sigweave.schemas import CHANGE_EVENT
+from sigweave.streaming import outbox as outbox_streams
 
 KEYS = "key_id string, monthly_limit int, requests_per_minute int"
 
@@ -51,7 +54,9 @@ def test_monthly_usage(log, keys, log_rows):
     rows = {(r.key_id, r.month.month): r for r in usage.monthly_usage(log, keys).collect()}
     mine = [r for r in log_rows if r[2] == "hot" and r[1].month == 1]
     hot = rows["hot", 1]
-    assert (hot.requests, hot.remaining, hot.last_used_at) == (len(mine), 0, max(r[1] for r in mine))
+    # Refused requests neither count nor set the last use.
+    assert len(mine) > 100
+    assert (hot.requests, hot.remaining, hot.last_used_at) == (100, 0, sorted(r[1] for r in mine)[99])
     assert str(hot.reset_at) == "2024-02-01 00:00:00"
 
 
@@ -139,3 +144,45 @@ def test_runs(spark, t):
         "run_type string, company string, status string, error string, started_at timestamp, completed_at timestamp")
     assert tuple(runs.run_summary(df).collect()[0]) == ("lever", 3, 1, 1, 1, t(1), t(5))
     assert [r.error for r in runs.error_log(df).collect()] == ["boom"]
+
+
+def test_outbox_splits_only_scopes_with_many_events(spark, t):
+    rows = [("hot.com", "s", "added", f"T{i}", "c", None, 0.7, t(1)) for i in range(300)]
+    rows += [(f"d{i}.com", "s", "removed", "T", "c", 0.7, None, t(1)) for i in range(20)]
+    events = spark.createDataFrame(rows, CHANGE_EVENT)
+    subs = spark.createDataFrame(
+        [("all", "k", "u1", ["tech_added", "tech_removed"], None, True), ("hot", "k", "u2", ["tech_added"], ["hot.com", "none.com"], True),
+         ("cold", "k", "u3", ["tech_removed"], ["d3.com"], True), ("off", "k", "u4", ["tech_added"], None, False)],
+        "id string, key_id string, url string, events array<string>, domains array<string>, is_active boolean")
+    got = [{tuple(r) for r in webhooks.outbox(events, subs, n).collect()} for n in (1, 7, 10**6)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 300 + 20 + 300 + 1
+
+
+def test_outbox_stream_delivers_each_event_once(spark, t, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    kinds = "id string, key_id string, url string, events array<string>, domains array<string>, is_active boolean"
+    subs = [[("s1", "k", "u", ["tech_added"], None, True)], [("s1", "k", "u", ["tech_added"], None, True), ("s2", "k", "v", ["tech_added"], ["b.com"], True)]]
+    told = [
+        [("a.com", "s", "added", "X", "c", None, 0.7, t(1)), ("a.com", "s", None, None, None, None, None, t(1))],
+        [("b.com", "s", "added", "Y", "c", None, 0.7, t(2)), ("b.com", "s", "removed", "X", "c", 0.7, None, t(2))],
+    ]
+    for rows, now in zip(told, subs):
+        spark.createDataFrame(rows, CHANGE_EVENT).coalesce(1).write.mode("append").parquet(src)
+        for _ in range(2):  # the second finds nothing new
+            outbox_streams.start_outbox_stream(spark, src, lambda: spark.createDataFrame(now, kinds), out, check).awaitTermination()
+    got = sorted((r.subscription_id, r.domain, r.canonical) for r in spark.read.parquet(out).collect())
+    assert got == [("s1", "a.com", "X"), ("s1", "b.com", "Y"), ("s2", "b.com", "Y")]
+
+
+def test_usage_of_idle_inactive_and_limited_keys(spark, t):
+    log = spark.createDataFrame(
+        [(1, t(3, 1), "two"), (2, t(3, 2), "two"), (3, t(3, 3), "two"), (4, t(4), "off"), (5, t(5), "open"), (6, t(6), "nobody"), (7, t(7), "zero")],
+        "request_id long, ts timestamp, key_id string")
+    keys = spark.createDataFrame(
+        [("two", 2, True), ("idle", 5, True), ("off", 5, False), ("open", None, None), ("zero", 0, True)],
+        "key_id string, monthly_limit int, is_active boolean")
+    rows = {r.key_id: (r.requests, r.remaining, r.last_used_at) for r in usage.monthly_usage(log, keys, F.lit(t(20))).collect()}
+    assert rows == {
+        "two": (2, 0, t(3, 2)), "idle": (0, 5, None), "off": (0, 5, None), "open": (1, None, t(5)), "zero": (0, 0, None),
+    }
+    assert {r.key_id for r in usage.monthly_usage(log, keys).collect()} == {"two", "open", "zero"}
