@@ -526,9 +526,10 @@ SELECT domain, canonical, category, confidence, sources, tech_ord FROM header_pt
 SCRAPE = f"domain, source, {ts('scraped_at')} AS scraped_at"
 
 ORACLES["mention_rollup"] = with_(*MENTIONS) + f"""
-SELECT {SCRAPE}, canonical, category, posting_count, raw_mention FROM (
+SELECT {SCRAPE}, canonical, category, posting_count, raw_mention,
+       row_number() OVER (PARTITION BY domain, source, scraped_at ORDER BY posting_count DESC, p, o) AS rank FROM (
   SELECT domain, source, scraped_at, canonical, category, count(*) AS posting_count,
-         arg_min(raw_mention, pos) AS raw_mention
+         arg_min(raw_mention, pos) AS raw_mention, min(pos) AS p, arg_min(alias_ord, pos) AS o
   FROM mention GROUP BY domain, source, scraped_at, canonical, category)
 """
 
@@ -550,11 +551,12 @@ SELECT domain, canonical, arg_min(category, arrival) AS category,
        round(least(0.99, CASE arg_min(source, arrival) WHEN 'job_listing' THEN 0.7 WHEN 'html_headers' THEN 0.95
          WHEN 'github_org' THEN 0.85 WHEN 'g2_profile' THEN 0.6 WHEN 'linkedin' THEN 0.55 ELSE 0.5 END
          + 0.05 * (count(*) - 1)), 4)::DOUBLE AS confidence,
-       string_agg(source, '|' ORDER BY arrival) AS sources, string_agg(alias, '|' ORDER BY arrival) AS raw_mentions
+       string_agg(source, '|' ORDER BY arrival) AS sources, string_agg(alias, '|' ORDER BY arrival) AS raw_mentions,
+       row_number() OVER (PARTITION BY domain ORDER BY confidence DESC, min((g, p)), canonical) AS rank
 FROM numbered WHERE nth = 1 GROUP BY domain, canonical
 """
 
-ORACLES["tech_profile"] = with_(*PROFILES) + f"""
+ORACLES["tech_profile_large"] = ORACLES["tech_profile"] = with_(*PROFILES) + f"""
 SELECT {SCRAPE}, canonical, category, confidence, sources, job_mention_count, job_mention_frequency,
        job_count, tech_ord FROM pt
 """

@@ -198,7 +198,7 @@ def extract_mentions(spark, sf):
 
 
 def extract_mentions_anchor(spark, sf):
-    return _flat_mentions(mentions(fx.postings(spark, sf), taxonomy_frame(spark), "anchor"))
+    return _flat_mentions(mentions(fx.postings(spark, sf), taxonomy_frame(spark), "join"))
 
 
 def extract_words(spark, sf):
@@ -254,16 +254,31 @@ def header_profile(spark, sf):
 
 def mention_rollup(spark, sf):
     m = mentions(fx.postings(spark, sf), fx.ALIASES, "scan")
-    return profile.mention_rollup(m, fx.ALIASES).select(
+    return profile.mention_rollup(m).select(
         "domain", "source", ts("scraped_at").alias("scraped_at"), "canonical", "category",
-        "posting_count", "raw_mention",
+        "posting_count", "raw_mention", "rank",
+    )
+
+
+def tech_profile_large(spark, sf):
+    """Profiles by a taxonomy of 50,000 aliases, most of them of technologies that nobody names."""
+    known = spark.range(1, 50_001 - len(fx.ALIASES)).select(
+        F.concat(F.lit("Tool "), "id").alias("canonical"), F.lit("made").alias("category"),
+        F.concat(F.lit("tool"), "id").alias("alias"), (F.col("id") + 1000).cast("int").alias("alias_ord"),
+    )
+    return profile.tech_profile(
+        fx.postings(spark, sf), taxonomy_frame(spark).unionByName(known), strategy="join"
+    ).select(
+        "domain", "source", ts("scraped_at").alias("scraped_at"), "canonical", "category",
+        "confidence", joined("sources").alias("sources"), "job_mention_count",
+        "job_mention_frequency", "job_count", "tech_ord",
     )
 
 
 def score_signals(spark, sf):
     return profile.score_signals(fx.signal_groups(spark, sf)).select(
         "domain", "canonical", "category", "confidence",
-        joined("sources").alias("sources"), joined("raw_mentions").alias("raw_mentions"),
+        joined("sources").alias("sources"), joined("raw_mentions").alias("raw_mentions"), "rank",
     )
 
 
@@ -722,6 +737,7 @@ QUERIES: dict[str, Query] = {
         worklist, registry_dedupe, strip_html_full, strip_html_short, extract_mentions,
         extract_mentions_anchor, extract_words, alias_map_, valid_domain_, header_signals,
         meta_generator_signals, header_profile, mention_rollup, score_signals, tech_profile,
+        tech_profile_large,
         by_category, top_tech, profile_totals, merge_profiles, latest_profile, latest_by_source,
         profiles_by_source, company_detail, company_detail_category, company_list,
         company_list_profiled, company_list_page, search_uses_all, search_uses_any,

@@ -4,23 +4,21 @@ An alias counts where neither neighbour is ``[a-z0-9]`` in the lower-cased text.
 one mention per technology: the longest alias found, the first listed on a tie.
 
 ``scan`` (the default) walks each text once with a single regular expression that all aliases
-share, and picks the best alias per technology inside the row: no shuffle, no Python, and the cost
-hardly grows with the number of aliases.  ``anchor`` is for a taxonomy too large for that: it
-joins the distinct words of each text with one word of each alias and verifies the candidates.
+share, and picks the best alias per technology inside the row: no shuffle, no Python.  ``join`` is
+for a large taxonomy: the same walk finds the aliases, whose number hardly matters to it, and a
+join with the table of aliases says which technologies they name.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sigweave.functions.text import WORD_CHAR, posting_text
 from sigweave.sources.taxonomy import (
-    MAX_SCAN_ALIASES, Alias, alias_map, load_aliases, resolved, taxonomy_frame,
+    Alias, load_aliases, resolved,
 )
 
 BEFORE, AFTER = f"(?<!{WORD_CHAR})", f"(?!{WORD_CHAR})"
@@ -65,12 +63,15 @@ def _candidate(a: Alias) -> dict:
     }
 
 
-def _scan(text: Column, aliases: Sequence[Alias]) -> Column:
-    """All (technology, alias) candidates of a text as an array of structs."""
-    known = resolved(aliases)
+def _pattern(words: Sequence[str]) -> str:
+    """Finds the longest word at every place where one stands free."""
+    return f"{BEFORE}(?=({_shared_prefix_pattern(words)}){AFTER})"
+
+
+def _implied(known: Sequence[Alias]) -> dict[str, list[dict]]:
+    """What a hit stands for: its own alias, and those that its beginning is."""
     by_prefix = {a.alias: a for a in known}
-    pattern = f"{BEFORE}(?=({_shared_prefix_pattern(list(by_prefix))}){AFTER})"
-    implied = {
+    return {
         a.alias: [
             _candidate(by_prefix[a.alias[:n]])
             for n in range(1, len(a.alias) + 1)
@@ -78,9 +79,18 @@ def _scan(text: Column, aliases: Sequence[Alias]) -> Column:
         ]
         for a in known
     }
+
+
+def _hits(text: Column, known: Sequence[Alias]) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_pattern([a.alias for a in known])), F.lit(1))
+
+
+def _scan(text: Column, aliases: Sequence[Alias]) -> Column:
+    """All (technology, alias) candidates of a text as an array of structs."""
+    known = resolved(aliases)
     # A JSON literal folds to one constant map, which keeps the expression tree small.
-    lookup = F.from_json(F.lit(json.dumps(implied)), f"map<string,array<{_CANDIDATE}>>")
-    hits = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
+    lookup = F.from_json(F.lit(json.dumps(_implied(known))), f"map<string,array<{_CANDIDATE}>>")
+    hits = F.array_distinct(_hits(text, known))
     return F.array_distinct(F.flatten(F.transform(hits, lambda h: lookup[h])))
 
 
@@ -111,103 +121,55 @@ def with_mentions(
     return found.select(*keep, F.expr(_BEST).alias("mentions"))
 
 
-def _anchored(
-    postings: DataFrame, taxonomy: DataFrame, keep: Sequence[str], key: Sequence[str]
-) -> DataFrame:
-    known = alias_map(taxonomy).withColumn(
-        "anchor",
-        # The longest word of the alias; aliases without a word hang on the empty string.
-        F.coalesce(
-            F.get(
-                F.array_sort(
-                    F.transform(
-                        F.regexp_extract_all("alias", F.lit(WORD_CHAR + "+"), F.lit(0)),
-                        lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")),
-                    )
-                ),
-                F.lit(0),
-            )["w"],
-            F.lit(""),
-        ),
-    )
-    texts = postings.select(
-        *keep, F.lower(posting_text(F.col("title"), F.col("description"))).alias("_text")
-    )
-    words = texts.select(
-        *key,
-        F.explode(
-            F.array_distinct(
-                F.concat(
-                    F.array(F.lit("")),
-                    F.regexp_extract_all("_text", F.lit(WORD_CHAR + "+"), F.lit(0)),
-                )
-            )
-        ).alias("anchor"),
-    )
-    # Only words travel to the join; the texts meet their candidates once, by posting.
-    candidates = (
-        words.join(known, "anchor")
-        .groupBy(*key)
-        .agg(
-            F.collect_list(
-                F.struct(
-                    "canonical",
-                    (-F.length("alias")).alias("neg_len"),
-                    "alias_ord",
-                    F.col("alias").alias("raw_mention"),
-                    "category",
-                )
-            ).alias("_maybe")
-        )
+#: Aliases in one pattern.  A larger taxonomy takes a pass over the text for each such part.
+PATTERN_ALIASES = 50_000
+
+
+def _joined(postings: DataFrame, aliases: Sequence[Alias], keep: Sequence[str]) -> DataFrame:
+    """Mentions of a large taxonomy: patterns find the aliases, a join says whose they are.
+
+    Only ``keep`` and the aliases found leave a task, never a text or all its words.
+    """
+    known = resolved(aliases)
+    parts = [known[i : i + PATTERN_ALIASES] for i in range(0, len(known), PATTERN_ALIASES)]
+    text = posting_text(F.col("title"), F.col("description"))
+    found = F.array_distinct(F.flatten(F.array(*[_hits(text, part) for part in parts])))
+    # The outer form, as a plain one would be searched twice; a hit that is null meets no alias.
+    hits = postings.select(*keep, F.explode_outer(found).alias("_hit"))
+    rows = [
+        (hit, c["canonical"], c["category"], c["raw_mention"], c["neg_len"], c["alias_ord"])
+        for part in parts for hit, candidates in _implied(part).items() for c in candidates
+    ]
+    table = postings.sparkSession.createDataFrame(
+        rows, "_hit string, canonical string, category string, raw_mention string, neg_len int, alias_ord int"
     )
-    candidates = candidates.select(*[F.col(c).alias(f"_of_{c}") for c in key], "_maybe")
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key])
-    return texts.join(candidates, same).select(
-        *keep,
-        F.array_sort(
-            F.filter(
-                "_maybe",
-                lambda c: F.contains(F.col("_text"), c["raw_mention"])
-                & F.rlike(
-                    F.col("_text"),
-                    F.concat(
-                        F.lit(BEFORE + r"\Q"),
-                        c["raw_mention"],
-                        F.lit(r"\E" + AFTER),
-                    ),
-                ),
-            )
-        ).alias("_candidates"),
-    ).select(*keep, F.expr(_BEST).alias("mentions"))
+    best = F.min_by(F.struct("category", "raw_mention"), F.struct("neg_len", "alias_ord"))
+    return hits.join(table, "_hit").groupBy(*keep, "canonical").agg(
+        best.alias("best"), F.min("alias_ord").alias("alias_ord")
+    ).select(*keep, "canonical", "best.category", "best.raw_mention", "alias_ord")
 
 
 def mentions(
     postings: DataFrame,
     taxonomy: DataFrame | Sequence[Alias],
-    strategy: str = "auto",
+    strategy: str = "scan",
     keep: Sequence[str] = ("domain", "source", "scraped_at", "posting_id", "pos"),
-    key: Sequence[str] = ("domain", "source", "scraped_at", "posting_id"),
 ) -> DataFrame:
     """One row per posting and technology: ``keep``, canonical, category, raw_mention, alias_ord.
 
-    ``auto`` scans while the taxonomy has at most ``MAX_SCAN_ALIASES`` aliases and joins beyond.
-    ``key`` must identify a posting, nulls being equal; only the join needs it.
+    The caller picks the strategy; the results are the same.  ``scan`` needs no shuffle and is for
+    hundreds to a few thousand aliases; ``join`` is for tens of thousands.  ``keep`` must identify a
+    posting for ``join``, nulls being equal.
     """
-    if strategy not in ("auto", "scan", "anchor"):
+    if strategy not in ("scan", "join"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == "auto":
-        if isinstance(taxonomy, DataFrame):
-            small = len(taxonomy.take(MAX_SCAN_ALIASES + 1)) <= MAX_SCAN_ALIASES
-        else:
-            small = len(taxonomy) <= MAX_SCAN_ALIASES
-        strategy = "scan" if small else "anchor"
-    if strategy == "scan":
-        rows = load_aliases(taxonomy) if isinstance(taxonomy, DataFrame) else taxonomy
-        found = with_mentions(postings, rows, keep)
-    else:
-        if not isinstance(taxonomy, DataFrame):
-            taxonomy = taxonomy_frame(postings.sparkSession, taxonomy)
-        found = _anchored(postings, taxonomy, keep, key)
+    rows = load_aliases(taxonomy) if isinstance(taxonomy, DataFrame) else taxonomy
+    if not rows:
+        none = [F.lit(None).cast("string").alias(c) for c in ("canonical", "category", "raw_mention")]
+        return postings.select(*keep, *none, F.lit(None).cast("int").alias("alias_ord")).limit(0)
+    if strategy == "join":
+        return _joined(postings, rows, keep)
+    found = with_mentions(postings, rows, keep)
     # The outer form, with the empty row dropped after it: for a plain inline the optimizer would
     # infer a size() > 0 filter below it, and so search every text twice.
     return found.select(*keep, F.inline_outer("mentions")).filter(F.col("canonical").isNotNull())

@@ -12,8 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sigweave.functions.text import round2, round4
-from sigweave.operators.mentions import with_mentions
-from sigweave.sources.taxonomy import Alias
+from sigweave.operators.mentions import mentions, with_mentions
+from sigweave.sources.taxonomy import Alias, load_aliases
 
 SCRAPE = ("domain", "source", "scraped_at")
 
@@ -42,48 +42,52 @@ def weight_of(source: Column, weights: Mapping[str, float] = SIGNAL_WEIGHTS) ->
     return F.coalesce(F.try_element_at(table, source), F.lit(OTHER_WEIGHT))
 
 
-def mention_rollup(mentions: DataFrame, aliases: Sequence[Alias]) -> DataFrame:
+def mention_rollup(mentions: DataFrame) -> DataFrame:
     """Postings per technology of a scrape, with the raw mention of the first posting.
 
-    The raw mention travels as an alias number, so that every aggregate is a fixed-width value and
-    the roll-up stays a hash aggregation with a map-side half.
+    ``rank`` orders a scrape's technologies by postings, then by first appearance.  The mentions of
+    any taxonomy will do; whatever the raw mention was, it is carried along as it is.
     """
-    texts = list(dict.fromkeys(a.alias.lower() for a in sorted(aliases, key=lambda a: a.alias_ord)))
-    table = F.array(*[F.lit(t) for t in texts])
-    number = F.array_position(table, F.col("raw_mention")).cast("int")
     counted = (
-        mentions.withColumn("_raw", number)
-        .groupBy(*SCRAPE, "canonical", "category")
+        mentions.groupBy(*SCRAPE, "canonical", "category")
         .agg(
             F.count("*").alias("posting_count"),
-            F.min_by("_raw", "pos").alias("_raw"),
+            F.min_by("raw_mention", "pos").alias("raw_mention"),
             F.min("pos").alias("first_pos"),
             F.min_by("alias_ord", "pos").alias("first_alias"),
         )
     )
+    order = Window.partitionBy(*SCRAPE).orderBy(F.desc("posting_count"), "first_pos", "first_alias")
     return counted.select(
-        *SCRAPE, "canonical", "category", "posting_count",
-        F.get(table, F.col("_raw") - 1).alias("raw_mention"),
-        "first_pos", "first_alias",
+        *SCRAPE, "canonical", "category", "posting_count", "raw_mention", "first_pos", "first_alias",
+        F.row_number().over(order).alias("rank"),
     )
 
 
-def tech_profile(postings: DataFrame, aliases: Sequence[Alias], keep_empty: bool = False) -> DataFrame:
+def tech_profile(
+    postings: DataFrame, aliases: DataFrame | Sequence[Alias], keep_empty: bool = False, strategy: str = "scan"
+) -> DataFrame:
     """The profile of each scrape's postings, one row per technology.
 
     With ``keep_empty`` each scrape keeps a row without a technology, so that ``snapshot`` has one for
-    scrapes that found none, too; for a report of a run, not for storing.
+    scrapes that found none, too; for a report of a run, not for storing.  ``aliases`` may be a table,
+    and ``strategy`` is that of ``mentions``.
 
     One pass over the texts: every posting also emits a marker row without a technology, so the
     number of postings falls out of the same map-side aggregation as the mention counts.  After
     it a scrape has at most one row per technology, which bounds the window.
     """
-    marker = "array<struct<canonical:string,category:string,raw_mention:string,alias_ord:int>>"
-    found = with_mentions(postings, aliases, [*SCRAPE, "pos"])
-    one = F.array(F.lit(None)).cast(marker)
-    rows = found.select(
-        *SCRAPE, "pos", F.explode_outer(F.concat(one, "mentions")).alias("m")
-    ).select(*SCRAPE, "pos", "m.canonical", "m.category", "m.alias_ord")
+    columns = [*SCRAPE, "pos", "canonical", "category", "alias_ord"]
+    if strategy == "join":
+        found = mentions(postings, aliases, "join", [*SCRAPE, "posting_id", "pos"]).select(*columns)
+        rows = found.unionByName(postings.select(*SCRAPE, "pos"), allowMissingColumns=True)
+    else:
+        marker = "array<struct<canonical:string,category:string,raw_mention:string,alias_ord:int>>"
+        known = load_aliases(aliases) if isinstance(aliases, DataFrame) else aliases
+        one = F.array(F.lit(None)).cast(marker)
+        rows = with_mentions(postings, known, [*SCRAPE, "pos"]).select(
+            *SCRAPE, "pos", F.explode_outer(F.concat(one, "mentions")).alias("m")
+        ).select(*SCRAPE, "pos", "m.canonical", "m.category", "m.alias_ord")
     counted = rows.groupBy(*SCRAPE, "canonical", "category").agg(
         F.count("*").alias("n"),
         F.min("pos").alias("first_pos"),
@@ -117,7 +121,8 @@ def score_signals(
     ``signals`` has domain, group_pos (arrival order of the group), source, canonical, category,
     raw_mention and optionally tech_pos (order inside the group).  The first group's weight is the
     base; every further distinct source adds a boost.  The first step leaves one row per source,
-    however many groups a source has, so the ordered lists of the second stay short.
+    however many groups a source has, so the ordered lists of the second stay short.  ``rank`` orders a
+    domain's technologies by confidence, then by arrival.
     """
     if "tech_pos" not in signals.columns:
         signals = signals.withColumn("tech_pos", F.lit(0))
@@ -133,6 +138,7 @@ def score_signals(
     )
     scored = per_source.groupBy("domain", "canonical").agg(in_order.alias("s"))
     first = F.get("s", F.lit(0))
+    order = Window.partitionBy("domain").orderBy(F.desc("confidence"), "arrived", "canonical")
     return scored.select(
         "domain",
         "canonical",
@@ -141,7 +147,7 @@ def score_signals(
         F.transform("s", lambda x: x["source"]).alias("sources"),
         F.transform("s", lambda x: x["raw_mention"]).alias("raw_mentions"),
         first["arrived"].alias("arrived"),
-    )
+    ).withColumn("rank", F.row_number().over(order))
 
 
 def snapshot(profile_tech: DataFrame) -> DataFrame:

@@ -81,8 +81,8 @@ Salesforce | crm | salesforce, sfdc, salesforce crm
 HubSpot | crm | hubspot, hub spot
 """
 
-# A taxonomy above this size is matched by a join instead of one scan expression.
-MAX_SCAN_ALIASES = 5_000
+# A taxonomy is a dimension: it is brought to the planner, which refuses one beyond this many aliases.
+MAX_ALIASES = 1_000_000
 
 TAXONOMY_SCHEMA = "canonical string, category string, alias string, alias_ord int"
 
@@ -112,13 +112,13 @@ def taxonomy_frame(spark: SparkSession, rows: Iterable[Alias] | None = None) ->
     return spark.createDataFrame(data, TAXONOMY_SCHEMA)
 
 
-def load_aliases(taxonomy: DataFrame, limit: int = MAX_SCAN_ALIASES) -> list[Alias]:
-    """Bring a taxonomy to the planner, refusing one too large for a scan expression."""
+def load_aliases(taxonomy: DataFrame, limit: int = MAX_ALIASES) -> list[Alias]:
+    """Bring a taxonomy to the planner, refusing one that is no dimension any more."""
     rows = taxonomy.select("canonical", "category", "alias", "alias_ord").orderBy("alias_ord")
     found = [Alias(*r) for r in rows.take(limit + 1)]
     if len(found) > limit:
         raise ValueError(
-            f"taxonomy has more than {limit} aliases; use mentions(..., strategy='anchor')"
+            f"taxonomy has more than {limit} aliases"
         )
     return found
 

@@ -2,6 +2,7 @@ import re
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from sigweave.operators import mentions as mention_operator
 from sigweave.operators.mentions import mentions
 from sigweave.sources.taxonomy import (
     Alias, alias_map, default_aliases, load_aliases, resolved, taxonomy_frame,
@@ -26,8 +27,8 @@ def extract(spark, texts, strategy="scan", aliases=ALIASES):
     df = spark.createDataFrame(
         [(i, "", x) for i, x in enumerate(texts)], "posting_id int, title string, description string"
     )
-    taxonomy = taxonomy_frame(spark, aliases) if strategy == "anchor" else aliases
-    rows = mentions(df, taxonomy, strategy, keep=("posting_id",), key=("posting_id",)).collect()
+    taxonomy = taxonomy_frame(spark, aliases) if strategy == "join" else aliases
+    rows = mentions(df, taxonomy, strategy, keep=("posting_id",)).collect()
     found = [{} for _ in texts]
     for r in rows:
         assert r.canonical not in found[r.posting_id]
@@ -52,7 +53,7 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("strategy", ["scan", "anchor"])
+@pytest.mark.parametrize("strategy", ["scan", "join"])
 def test_cases(spark, strategy):
     found = extract(spark, [c[0] for c in CASES], strategy)
     for (text, expected), got in zip(CASES, found):
@@ -63,11 +64,11 @@ def test_cases(spark, strategy):
 def test_strategies_agree_on_null_keys(spark):
     rows = [("a", 1, "react"), ("a", None, "python and react"), (None, None, "docker"), (None, None, "react")]
     df = spark.createDataFrame([(d, i, "", x) for d, i, x in rows], "domain string, posting_id int, title string, description string")
-    scan, anchor = (
-        sorted(map(str, mentions(df, taxonomy_frame(spark), how, keep=("domain", "posting_id"), key=("domain", "posting_id")).collect()))
-        for how in ("scan", "anchor")
+    scan, join = (
+        sorted(map(str, mentions(df, taxonomy_frame(spark), how, keep=("domain", "posting_id")).collect()))
+        for how in ("scan", "join")
     )
-    assert scan == anchor and len(scan) == 5
+    assert scan == join and len(scan) == 5
 
 
 def test_longest_alias_is_kept_once(spark):
@@ -111,7 +112,25 @@ pieces = st.one_of(
 def test_strategies_agree_with_brute_force(spark, texts):
     expected = [brute_force(x) for x in texts]
     assert extract(spark, texts, "scan") == expected
-    assert extract(spark, texts, "anchor") == expected
+    assert extract(spark, texts, "join") == expected
+
+
+def test_a_taxonomy_of_many_aliases(spark, monkeypatch):
+    monkeypatch.setattr(mention_operator, "PATTERN_ALIASES", 300)
+    many = ALIASES + [Alias(f"Tool {i}", "made", f"tool{i}{'.js' * (i % 2)}", 1000 + i) for i in range(1, 1000)]
+    many += [Alias("Tool 7", "made", "tool7.js.net", 5000), Alias("Net", "made", ".net", 5001)]
+    texts = ["Tool7.js.net and tool70", "tool999.js, react.js", "tool1 tool2 tool3.jsx", None, "", "tool 5 xtool6 tool6"]
+    expected = [brute_force(x or "", many) for x in texts]
+    assert extract(spark, texts, "join", many) == expected == extract(spark, texts, "scan", many)
+    assert extract(spark, texts, "join", []) == [{}] * len(texts) == extract(spark, texts, "scan", [])
+
+
+def test_neither_texts_nor_words_leave_a_task(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "posting_id int, title string, description string")
+    plan = mentions(df, ALIASES, "join", keep=("posting_id",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    for line in plan.split("\n"):
+        assert not ("Exchange" in line and ("description" in line or "title" in line))
 
 
 def test_the_text_is_searched_once(spark):

@@ -61,7 +61,7 @@ def test_half_is_rounded_on_the_binary_value(spark):
 def test_rollup_keeps_the_first_raw_mention(spark, t):
     jobs = [("x", "reactjs"), ("y", "react.js and React"), ("z", "vue")]
     m = mentions(postings(spark, t, jobs), ALIASES)
-    rows = {r.canonical: r for r in p.mention_rollup(m, ALIASES).collect()}
+    rows = {r.canonical: r for r in p.mention_rollup(m).collect()}
     assert (rows["React"].posting_count, rows["React"].raw_mention) == (2, "reactjs")
 
 
@@ -118,3 +118,19 @@ def test_scrapes_without_technology_are_in_the_report(spark, t):
     got = {r.company_name: (r.job_count, r.tech_count, len(r.tech_profile), r.top_tech) for r in report.run_report(snapshots, companies).collect()}
     assert got["b.com"] == (2, 0, 0, []) and got["A"][:3] == (1, 1, 1)
     assert p.snapshot(p.tech_profile(rows, ALIASES)).count() == 1
+
+
+def test_profiles_by_a_table_of_aliases(spark, t):
+    from sigweave.sources.taxonomy import taxonomy_frame
+
+    rows = postings(spark, t, FOUR + [("x", "zz")])
+    want = sorted(map(str, p.tech_profile(rows, ALIASES, keep_empty=True).collect()))
+    assert sorted(map(str, p.tech_profile(rows, taxonomy_frame(spark), keep_empty=True, strategy="join").collect())) == want
+    assert sorted(map(str, p.tech_profile(rows, taxonomy_frame(spark), keep_empty=True).collect())) == want
+
+
+def test_rollup_and_scores_are_ranked(spark, t):
+    m = mentions(postings(spark, t, FOUR), ALIASES)
+    ranked = {r["rank"]: (r.canonical, r.posting_count) for r in p.mention_rollup(m).collect()}
+    assert ranked[1] == ("TypeScript", 2) or ranked[1] == ("React", 2)
+    assert [ranked[i][1] for i in sorted(ranked)] == sorted((n for _, n in ranked.values()), reverse=True)
