@@ -5,26 +5,23 @@ their two halves.  Leaving out each bit of each half in turn gives 64 keys per f
 every such pair agrees on a key: an equality shuffle finds it, and the distance is checked there.
 With a key of 31 bits, fingerprints meet by chance rarely, at any size of the input.
 
-Deduplication does not go by fingerprints: it links all texts that are alike in their shingles.
+Deduplication keeps one key of each group of linked fingerprints.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigweave.llm.components import components
-from sigweave.llm.hashing import shingles, word_hashes
 from sigweave.llm.tables import added, cut, text_of
 
 SEED = 42
@@ -197,156 +194,35 @@ def near_groups(
     Columns of the input named like a result are replaced.
     """
     marked = cut(fingerprint(docs.select(*added(docs, "fp", "component_id")), size, text), "fingerprints")
-    once = cut(marked.groupBy("fp").agg(F.min(key).alias("__first")), "distinct")
-    found = components(links(once.select("fp", F.col("fp").alias("node")), radius))
-    rooted = once.join(found, once.fp == found.node, "left").withColumn("__root", F.coalesce("root", "fp"))
-    rooted = cut(rooted.select("fp", "__root", "__first"), "rooted")
+    rooted = _rooted(marked, radius, key)
     ids = rooted.groupBy("__root").agg(F.min("__first").alias("component_id"))
     of = cut(rooted.join(ids, "__root").select("fp", "component_id"), "groups")
     return marked.join(of, "fp").select(*[F.col(f"`{c}`") for c in marked.columns], "component_id")
 
 
-# Deduplication: all pairs of texts that are alike in their shingles, by prefixes of ordered sets.
-
-SHINGLE = 5
-#: Texts whose shingles are counted to tell common from rare ones, and how many common ones are told apart.
-COUNTED, COMMON = 5_000, 50_000
-#: A run of texts with one shingle is paired at once if it is this short; a longer one by so many leaders at first, and so many times more each round.
-SHORT_RUN, LEADERS, MORE = 16, 2, 8
-#: The token of texts without words.
-NO_WORDS = -1
-#: Against rounding: what is equal to a bound reaches it.
-SLACK = 1e-9
-
-
-def _shingle_sets(texts: pd.Series) -> Iterator[np.ndarray]:
-    """The distinct shingles of each text, as hashes."""
-    for at in range(0, len(texts), 512):
-        for words in word_hashes(texts.iloc[at : at + 512].tolist()):
-            yield np.unique(shingles(words, SHINGLE))
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _shingle_set(texts: pd.Series) -> pd.Series:
-    return pd.Series([s.view(np.int64) for s in _shingle_sets(texts)], dtype=object)
-
-
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        of, n = np.unique(np.concatenate([np.empty(0, np.uint64), *_shingle_sets(frame["text"])]), return_counts=True)
-        yield pd.DataFrame({"of": of.view(np.int64), "n": n})
+def _rooted(marked: DataFrame, radius: int, key: str) -> DataFrame:
+    """``fp``, once each, with ``__root``, the fingerprint its component goes by, and ``__first``, the smallest key that has it."""
+    once = cut(marked.groupBy("fp").agg(F.min(key).alias("__first")), "distinct")
+    found = components(links(once.select("fp", F.col("fp").alias("node")), radius))
+    rooted = once.join(found, once.fp == found.node, "left").withColumn("__root", F.coalesce("root", "fp"))
+    return cut(rooted.select("fp", "__root", "__first"), "rooted")
 
 
-def _common(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts share, sorted, and how many of the counted texts have each.
+def deduplicate(docs: DataFrame, size: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay, columns as in ``docs``: one key of each group of ``near_groups``.
 
-    They only decide in which order shingles are taken: any order finds the same links, this one
-    with few candidates.
-    """
-    share = max(1, docs.count() // COUNTED)
-    some = docs.select(text_of(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    counts = some.mapInPandas(_counted, "of long, n long").groupBy("of").agg(F.sum("n").alias("n")).filter("n > 2")
-    got = counts.orderBy(F.col("n").desc(), "of").limit(COMMON).toArrow()
-    of, n = got.column("of").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(of)
-    return of[order], n[order]
-
-
-def _prefixes(common: Broadcast, least: float):
-    """``n``, the distinct shingles of a text, and ``tokens``, the rarest of them: one more than may be missing in a text that is alike."""
-
-    @F.pandas_udf("n int, tokens array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        known, often = common.value
-        sizes, tokens = [], []
-        for own in _shingle_sets(texts):
-            count = np.zeros(len(own), np.int64)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                count = np.where(known[place] == own, often[place], 0)
-            first = len(own) - math.ceil(least * len(own) - SLACK) + 1
-            sizes.append(len(own))
-            tokens.append(own[np.lexsort((own, count))[:first]].view(np.int64) if len(own) else np.array([NO_WORDS]))
-        return pd.DataFrame({"n": np.array(sizes, np.int32), "tokens": pd.Series(tokens, dtype=object)})
-
-    return of
-
-
-def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, least: float, text: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingles, shared over all distinct, reach ``least``."""
-    sha = F.sha2(text_of(text).cast("binary"), 256)
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(texts.join(nodes, "node").select("node", F.col("sha").alias("of")), "wanted")
-    sets = docs.select(sha.alias("sha"), text_of(text).alias("text")).join(wanted, F.col("sha") == F.col("of"))
-    sets = sets.groupBy("node").agg(F.first("text").alias("text")).select("node", _shingle_set("text").alias("own"))
-    sets = cut(sets, "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return cut(both.filter(shared >= least * (F.size("x") + F.size("y") - shared) - SLACK).select("a", "b"), "alike")
-
-
-def alike_groups(docs: DataFrame, texts: DataFrame, least: float, text: str = "text") -> DataFrame:
-    """``(node, root)`` as of ``components`` over all pairs of ``texts`` (node, sha, n, tokens) that are alike.
-
-    Texts that share ``least`` of all their shingles share one of their ``tokens``; at the first one
-    they share, in the order that holds for all texts, what follows must suffice in both.  So no
-    link is missed.  In a long run of texts with one token those with the fewest rare shingles
-    lead, a few per round; what is in one component by then is not compared again.
-    """
-    tokens = texts.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-    run = Window.partitionBy("token")
-    runs = tokens.withColumn("rank", F.row_number().over(run.orderBy("pos", "node"))).withColumn("m", F.count(F.lit(1)).over(run))
-    left = cut(runs.filter("m > 1").withColumn("root", F.col("node")), "runs")
-    low, high, found = 0, LEADERS, None
-    while True:
-        leads = (F.col("rank") > low) & (F.col("rank") <= high)
-        leads = leads | (F.col("m") <= SHORT_RUN) if found is None else leads
-        lead = left.filter(leads).select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "pos", "rank", "root")])
-        enough = F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos")) >= least / (1 + least) * (F.col("n") + F.col("l_n")) - SLACK
-        met = lead.join(left, "token").filter((F.col("rank") > F.col("l_rank")) & (F.col("root") != F.col("l_root")) & enough)
-        pairs = cut(met.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct(), "pairs")
-        links = _alike(docs, texts, pairs, least, text)
-        if found is not None:
-            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        found = components(links)
-        left = left.filter((F.col("m") > SHORT_RUN) & (F.col("m") > high + 1)).drop("root").join(found, "node", "left")
-        left = cut(left.withColumn("root", F.coalesce("root", "node")), "labelled")
-        several = left.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("token")
-        left = cut(left.join(several, "token", "left_semi"), "open")
-        if left.isEmpty():
-            return found
-        low, high = high, MORE * high
-
-
-def removals(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, sha, stays)``: rows to drop, by key and SHA-256 of the text, each with the key that stays for it.
-
-    Texts are linked if their five-word shingle similarity (shared over all distinct) is ``least``
-    or more.  Of the texts linked over any steps the row with the smallest key stays, and of equal
-    keys the one with the smallest SHA-256; a null key comes after all others.
-    """
-    spark = docs.sparkSession
-    sha = F.sha2(text_of(text).cast("binary"), 256)
-    prefix = _prefixes(spark.sparkContext.broadcast(_common(docs, text)), least)(text_of(text))
-    rows = cut(docs.select(F.col(key).alias("key"), sha.alias("sha"), prefix.alias("prefix")), "prefixes")
-    texts = rows.groupBy("sha").agg(F.min("key").alias("key"), F.first("prefix").alias("prefix"))
-    texts = cut(texts.select(F.monotonically_increasing_id().alias("node"), "sha", "key", "prefix.*"), "texts")
-    groups = alike_groups(docs, texts, least, text)
-    rooted = texts.select("node", "sha", "key").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = cut(rooted.select("root", "sha", "key"), "rooted")
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "sha")).alias("first"))
-    stays = cut(rooted.join(first, "root").select(F.col("sha").alias("of"), "first"), "stays")
-    every = rows.join(stays, F.col("sha") == F.col("of"))
-    stay = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("sha") == F.col("first.sha"))
-    return every.filter(~stay).select("key", "sha", F.col("first.key").alias("stays")).distinct()
-
-
-def deduplicate(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, columns as in ``docs``: one key of each group of texts linked over any steps.
-
-    Rows that repeat a key and its text share their fate.  Texts without words are alike.
+    The smallest key stays, of equal keys the one whose text has the smallest SHA-256; null keys come
+    after all others.  Rows that repeat a key and its text share their fate.  Texts without words have
+    fingerprint zero, so one of them stays.  An empty table stays empty.
     """
-    gone = cut(removals(docs, least, key, text), "gone").select(F.col("key").alias("__key"), F.col("sha").alias("__sha"))
     sha = F.sha2(text_of(text).cast("binary"), 256)
+    narrow = docs.select(F.col(key).alias("__key"), sha.alias("__sha"), text_of(text).alias("__text"))
+    # Only keys and hashes are written and shuffled; texts are read again where rows go.
+    marked = cut(fingerprint(narrow, size, "__text").select("__key", "__sha", "fp"), "fingerprints")
+    rows = marked.join(_rooted(marked, radius, "__key").select("fp", "__root"), "fp")
+    rows = cut(rows.select("__root", "__key", "__sha"), "members")
+    order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__sha").alias("sha"))
+    first = rows.groupBy("__root").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    stays = F.col("__key").eqNullSafe(F.col("__first.key")) & (F.col("__sha") == F.col("__first.sha"))
+    gone = cut(rows.join(cut(first, "first"), "__root").filter(~stays).select("__key", "__sha").distinct(), "gone")
     return docs.join(gone, F.col(key).eqNullSafe(F.col("__key")) & (sha == F.col("__sha")), "left_anti")
