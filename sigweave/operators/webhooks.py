@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from sigweave.session import shared_dir
 
 # What subscribers call the events.
 EVENT_NAMES = {
@@ -67,32 +69,23 @@ def outbox(events: DataFrame, subscriptions: DataFrame, per_salt: int = EVENTS_P
 def delivery_health(log: DataFrame) -> DataFrame:
     """Failures since the last success, and the time of that success, per subscription.
 
-    The log is split by minute first: each minute knows its last success and the failures after
-    it.  What is left per subscription is one row a minute.
+    Two folds over the log, both combined inside the map tasks: the last success, then the failures
+    after it.  The first result, one row a subscription, is written to the shared folder, so Spark
+    knows its size when it picks the join: a small one is sent to the log, and no row of the log is
+    shuffled.  A larger one is joined on the subscription, failures only.
     """
-    minute = Window.partitionBy("subscription_id", "minute")
-    tails = (
-        log.withColumn("minute", F.date_trunc("minute", F.col("ts")))
-        .withColumn("ok_at", F.max(F.when(F.col("ok"), F.col("ts"))).over(minute))
-        .groupBy("subscription_id", "minute", "ok_at")
-        .agg(
-            F.count_if(
-                ~F.col("ok") & (F.col("ok_at").isNull() | (F.col("ts") > F.col("ok_at")))
-            ).alias("failed_after")
-        )
+    spark = log.sparkSession
+    path = shared_dir(spark, "delivery-health")
+    fired = log.groupBy("subscription_id").agg(F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_fired_at"))
+    fired.write.parquet(path)
+    fired = spark.read.schema(fired.schema).parquet(path)
+    of = fired.select(F.col("subscription_id").alias("of"), F.col("last_fired_at").alias("since"))
+    failed = (
+        log.filter(~F.col("ok")).select("subscription_id", "ts")
+        .join(of, F.col("subscription_id").eqNullSafe(F.col("of")))
+        .filter(F.col("since").isNull() | (F.col("ts") > F.col("since")))
+        .select("subscription_id", F.col("since").alias("last_fired_at"), F.lit(1).alias("failed"))
     )
-    whole = Window.partitionBy("subscription_id")
-    return (
-        tails.withColumn("last_fired_at", F.max("ok_at").over(whole))
-        .groupBy("subscription_id")
-        .agg(
-            F.max("last_fired_at").alias("last_fired_at"),
-            F.sum(
-                F.when(
-                    F.col("last_fired_at").isNull()
-                    | (F.col("minute") >= F.date_trunc("minute", F.col("last_fired_at"))),
-                    F.col("failed_after"),
-                ).otherwise(0)
-            ).alias("failure_count"),
-        )
+    return fired.withColumn("failed", F.lit(0)).unionByName(failed).groupBy("subscription_id").agg(
+        F.max("last_fired_at").alias("last_fired_at"), F.sum("failed").alias("failure_count")
     )

@@ -138,6 +138,15 @@ def test_delivery_health(spark):
     assert got == expected
 
 
+def test_delivery_health_shuffles_no_row_of_the_log(spark, t):
+    rows = [(t(1, 0, m), None if m % 2 else "s", ok) for m, ok in enumerate([False, True, False, None, False, False])]
+    health = webhooks.delivery_health(spark.createDataFrame(rows, "ts timestamp, subscription_id string, ok boolean"))
+    assert {tuple(r) for r in health.collect()} == {("s", None, 3), (None, t(1, 0, 1), 1)}
+    plan = health._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [plan[i + 1] for i, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert below and all("HashAggregate" in line for line in below) and any("BroadcastHashJoin" in line for line in plan)
+
+
 def test_runs(spark, t):
     df = spark.createDataFrame(
         [("lever", "A", "ok", None, t(1), t(2)), ("lever", "B", "fail", "boom", t(3), t(4)), ("lever", "C", "skip", None, t(3), t(5))],
