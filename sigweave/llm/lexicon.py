@@ -2,7 +2,8 @@
 
 The states of the automata of all terms are run together: a state is a set of (trie node, edits
 spent).  Sets are made when a text first needs them and kept, so reading a word is one look-up per
-character until no term is left.
+character until no term is left.  Characters that no term has are one and the same to the automata,
+and when the sets kept reach a bound they are all forgotten and made anew as needed.
 """
 
 from __future__ import annotations
@@ -22,11 +23,19 @@ def default_edits(text: str) -> int:
     return 0 if len(text) < 4 else 1 if len(text) < 9 else 2
 
 
+#: Stands for every character that is in no term.
+OTHER = ""
+
+
 class Automaton:
-    """Finds the terms that a word begins with, misspelled or not, at any character."""
+    """Finds the terms that a word begins with, misspelled or not, at any character.
 
-    def __init__(self, terms: list[Term]):
-        self.terms = terms
+    ``most`` bounds the moves between sets that are remembered, and with them the sets.
+    """
+
+    def __init__(self, terms: list[Term], most: int = 200_000):
+        self.terms, self.most = terms, most
+        self.alphabet = frozenset(c for t in terms for c in t.text)
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int | None] = [None]
         self.edits: list[int] = [0]  # most edits of any term below
@@ -42,7 +51,11 @@ class Automaton:
                 node = self.children[node][c]
             self.edits[node] = max(self.edits[node], term.edits)
             self.ends[node] = number
+        self._forget()
+
+    def _forget(self) -> None:
         start = self._closed({(0, 0)})
+        self.made = 0
         self.states: list[frozenset[tuple[int, int]]] = [start]
         self.known = {start: 0}
         self.moves: list[dict[str, int]] = [{}]
@@ -78,12 +91,16 @@ class Automaton:
             ends = [(spent, self.ends[node]) for node, spent in closed if self.ends[node] is not None and spent <= self.terms[self.ends[node]].edits]
             self.matches.append(min(ends) if ends else None)
         self.moves[state][c] = self.known[closed]
+        self.made += 1
         return self.known[closed]
 
     def match(self, word: str) -> tuple[int, int] | None:
         """``(edits, term)`` with the fewest edits; None if no term fits the beginning of the word."""
+        if self.made >= self.most:
+            self._forget()
         state, best = 0, None
         for c in word:
+            c = c if c in self.alphabet else OTHER
             to = self.moves[state].get(c)
             state = self._move(state, c) if to is None else to
             if not self.states[state]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,18 +96,33 @@ def factors(histogram: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Take what fits, in the order of the ranking; at the end the smallest rest, if that comes nearer."""
+    """Take in the order of the ranking, up to the border, with or without the row there.
+
+    What is then missing or too much goes by one change, whichever comes nearest: a row added, a
+    row left out, or both.  So a source departs from the order by two rows at most, whatever the
+    sizes and the number of rows.
+    """
     rows = rows.sort_values(["rank", "key", "tie"], kind="stable")
-    room, took, smallest = float(rows["left"].iloc[0]), [], None
-    sizes = rows["words"].tolist()
-    for i, words in enumerate(sizes):
-        took.append(words <= room)
-        if took[i]:
-            room -= words
-        elif smallest is None or words < sizes[smallest]:
-            smallest = i
-    if smallest is not None and sizes[smallest] - room < room:
-        took[smallest] = True
+    sizes = rows["words"].to_numpy()
+    until, room = sizes.cumsum(), float(rows["left"].iloc[0])
+    n = int((until <= room).sum())
+    changes: list[tuple[float, int, list[int]]] = []  # what is missing or too much, rows taken, rows that change sides
+    for k in range(n, min(n + 1, len(sizes)) + 1):
+        short = room - (until[k - 1] if k else 0)
+        # None is an empty row that may stand on either side.
+        inside, outside = np.append(sizes[:k], 0), np.append(sizes[k:], 0)
+        order = np.argsort(outside, kind="stable")
+        wanted = short + inside
+        right = np.minimum(np.searchsorted(outside[order], wanted), len(order) - 1)
+        for at in (right, np.maximum(right - 1, 0)):
+            rest = np.abs(wanted - outside[order[at]])
+            out = int(np.argmin(rest))
+            into = int(order[at[out]])
+            changes.append((float(rest[out]), k, [out] * (out < k) + [k + into] * (k + into < len(sizes))))
+        changes.append((abs(short), k, []))
+    _, k, change = min(changes, key=lambda c: (c[0], len(c[2]), c[1]))
+    took = np.arange(len(sizes)) < k
+    took[change] = ~took[change]
     return rows.assign(took=took)[["key", "tie", "source", "took"]]
 
 

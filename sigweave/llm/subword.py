@@ -21,13 +21,12 @@ from sigweave.llm.tables import text_of
 
 @dataclass(frozen=True)
 class Settings:
-    """``rows``: about so many training rows per class at most; ``features``: most of one training row.
+    """``rows``: about so many training rows per class at most, whole texts.
 
-    Both bound what reaches the driver: classes x rows x features x 8 bytes at most.
+    A row has at most ``buckets`` features, so classes x rows x buckets x 8 bytes bound what reaches the driver.
     """
 
     rows: int = 1_500
-    features: int = 4_096
     buckets: int = 1 << 16
     grams: tuple[int, ...] = (2, 3, 4)
     lower: str = "all"
@@ -60,9 +59,6 @@ def _counted(s: Settings):
             for text in frame["text"]:
                 every = [b for c in chunks([text], s.lower) for _, b in _features(c, s)]
                 ids, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.empty(0, np.int64),) * 2
-                if len(ids) > s.features:
-                    keep = np.argsort(mix(ids.astype(np.uint64)))[: s.features]
-                    ids, n = ids[keep], n[keep]
                 rows.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
             yield pd.DataFrame({"label": frame["label"], "ids": [r[0] for r in rows], "weights": [r[1] for r in rows]})
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,9 +28,12 @@ from sigweave.llm.tables import added, cut, text_of
 
 RESULT = ("score", "predicted")
 WORDS = re.compile(r"\w+")
-#: Words with symbols before or between them: one may stand for a character.
-MASKED = re.compile(r"\w*(?:[^\w\s\"“”«»„]+\w+)+")
-QUOTED = re.compile(r"\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|«[^»\n]{0,300}»|„[^“”\n]{0,300}[“”]")
+#: Words with symbols before or between them: one may stand for a character.  Tried only where a token
+#: begins, as it fits there or nowhere in it: so a long token is read once.
+MASKED = re.compile(r"(?<![^\s\"“”«»„])\w*(?:[^\w\s\"“”«»„]+\w+)+")
+QUOTE = re.compile(r"[\"“”«»„\n]")
+# What ends a quotation, by the mark that begins it.
+CLOSED_BY = {'"': '"', "“": "”", "«": "»", "„": "“”"}
 # Words that, shortly before a term, tell that it is mentioned rather than used.
 REPORTING = frozenset("said says called calls word term quote quoted insult sagte wort nannte dijo palabra dit mot".split())
 WINDOW = 8
@@ -40,15 +44,18 @@ EDITED = 0.85
 
 @dataclass(frozen=True)
 class Learning:
-    """Bounds on what is learned: rows of each label, documents a term must occur in, and terms."""
+    """``rows`` of each label bound what is read; a term needs ``least`` toxic documents.
+
+    A term is the beginning of words, of ``shortest`` to ``longest`` characters; a longer word is met by
+    its beginning.  There are as many terms as the rows bear out.
+    """
 
     rows: int = 3_000
     least: int = 4
     margin: float = 3.0
     clean_rate: float = 0.02
     ratio: float = 20.0
-    terms: int = 500
-    shortest: int = 4
+    shortest: int = 3
     longest: int = 16
     seed: int = 11
 
@@ -99,6 +106,27 @@ def _lexicon(counts: list[tuple[str, int, int]]) -> list[str]:
     return sorted(chosen)
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """``(start, end)`` of what stands in quotation marks on one line, however long, leftmost first."""
+    marks = [(m.start(), m[0]) for m in QUOTE.finditer(text)]
+    ends: list[int | None] = [None] * len(marks)
+    ahead: dict[str, int] = {}
+    for i in range(len(marks) - 1, -1, -1):
+        mark = marks[i][1]
+        if mark == "\n":
+            ahead.clear()
+            continue
+        ends[i] = min((ahead[c] for c in CLOSED_BY.get(mark, "") if c in ahead), default=None)
+        ahead[mark] = i
+    out, i = [], 0
+    while i < len(marks):
+        last = ends[i]
+        if last is not None:
+            out.append((marks[i][0], marks[last][0] + 1))
+        i = i + 1 if last is None else last + 1
+    return out
+
+
 class Reader:
     """Reads texts with one model; words once read are remembered, within a bound."""
 
@@ -110,6 +138,7 @@ class Reader:
         self.seen: dict[str, tuple[int, int] | None] = {}
 
     def match(self, word: str) -> tuple[int, int] | None:
+        word = word[: self.longest]  # no term reaches further
         if word not in self.seen:
             if len(self.seen) >= self.REMEMBER:
                 self.seen.clear()
@@ -120,11 +149,12 @@ class Reader:
         """``(edits, term)`` by the place of a word that fits a term with the symbols around it: st*pid, $tupid."""
         out = {}
         for token in MASKED.finditer(low):
-            for word in WORDS.finditer(token[0]):
+            first, stop = token.span()
+            for word in WORDS.finditer(low, first, stop):
                 at = word.start()
-                read = [self.match(token[0][a : a + self.longest]) for a in {at, max(at - 1, 0)}]
+                read = [self.match(low[a : min(a + self.longest, stop)]) for a in {at, max(at - 1, first)}]
                 if any(read):
-                    out[token.start() + at] = min(m for m in read if m)
+                    out[at] = min(m for m in read if m)
         return out
 
     def hits(self, text: str | None) -> tuple[list[tuple[int, int, int, bool]], int]:
@@ -135,13 +165,14 @@ class Reader:
         masked = self.masked(low)
         if not found and not masked:
             return [], len(words)
-        quotes = [m.span() for m in QUOTED.finditer(low)]
-        out = []
+        quotes = quotations(low)
+        begins, out = [a for a, _ in quotes], []
         for i, m in enumerate(WORDS.finditer(low)):
             if m[0] in found or m.start() in masked:
                 edits, term = min(x for x in (found.get(m[0]), masked.get(m.start())) if x is not None)
                 told = any(w in REPORTING for w in words[max(0, i - 3) : i])
-                out.append((i, term, edits, told or any(a < m.start() < b for a, b in quotes)))
+                last = bisect_left(begins, m.start()) - 1  # the last quotation that begins before the word
+                out.append((i, term, edits, told or (last >= 0 and m.start() < quotes[last][1])))
         return out, len(words)
 
     def features(self, text: str | None) -> list[float]:
@@ -201,10 +232,10 @@ def learn(
         (gain >= math.log(tested + 1) + how.margin) & (F.col("clean") <= how.clean_rate * n.get(0, 0))
         & (F.col("toxic") * (n.get(0, 0) + 1) >= how.ratio * (F.col("clean") + 0.5) * (n.get(1, 0) + 1))
     ) if 0 < share < 1 else counts.limit(0)
-    best = telling.orderBy(F.col("toxic").desc(), "term").limit(20 * how.terms).select("term", "clean", "toxic").collect()
+    best = telling.select("term", "clean", "toxic").collect()  # beginnings that the bounded sample of rows bears out
     toxic = {r[0]: r[2] for r in best}
     odds = {r[0]: math.log((r[2] + 0.5) * (n.get(0, 0) + 1) / (r[1] + 0.5) / (n.get(1, 0) + 1)) for r in best}
-    chosen = sorted(_lexicon([tuple(r) for r in best]), key=lambda t: (-toxic[t], t))[: how.terms]
+    chosen = sorted(_lexicon([tuple(r) for r in best]), key=lambda t: (-toxic[t], t))
     terms = [Term(t, default_edits(t)) for t in chosen]
     # A misspelling that clean documents write is a word of its own: such terms are taken exactly.
     loose = rows.filter("label = 0").mapInPandas(_misread(terms, [odds[t] for t in chosen]), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()

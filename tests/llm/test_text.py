@@ -2,7 +2,12 @@
 
 import base64
 import gzip
+import random
+import re
+import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +54,19 @@ def test_mix_meets_its_targets_and_repeats(spark):
     assert (abs(by.taken - by.target) <= 0.01 * by.target).all()
 
 
+def test_the_border_keeps_short_and_long_documents_alike():
+    rng, sizes, hits = np.random.default_rng(1), np.array([1, 50] * 200), np.zeros(400)
+    room = 0.3 * sizes.sum()
+    for _ in range(1_000):
+        ranked = pd.DataFrame({"key": np.arange(400).astype(str), "tie": np.arange(400), "source": "s", "rank": rng.random(400), "left": room, "words": sizes})
+        took = mixing._fill(ranked).sort_values("tie").took.to_numpy()
+        order = ranked["rank"].argsort().to_numpy()
+        border = int((sizes[order].cumsum() <= room).sum())
+        assert (took[order] != (np.arange(400) < border)).sum() <= 3 and abs(sizes[took].sum() - room) <= 25
+        hits += took
+    assert abs(hits[::2].mean() - 300) < 6 and abs(hits[1::2].mean() - 300) < 6
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(1, "a b", None), (1, "a b", None), (None, "x y z", "s"), (3, None, "s"), (4, "", "t"), (5, "q", "u")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", F.lit(0))
@@ -103,9 +121,7 @@ def test_automaton_equals_edit_distance():
     terms = [Term("stupid", 1), Term("worthless", 2), Term("scum", 0), Term("stump", 1)]
     reader = Automaton(terms)
     for word in "stupid stupidity stpid sttupid stuped sxxpid upid scum scam scummy worthles wortles wrthlss stum stumpy s w".split():
-        least = [
-            min((edits(word[:n], t.text), i) for n in range(1, len(word) + 1)) for i, t in enumerate(terms) if word[0] == t.text[0]
-        ]
+        least = [min((edits(word[:n], t.text), i) for n in range(1, len(word) + 1)) for i, t in enumerate(terms)]
         want = min((x for x in least if x[0] <= terms[x[1]].edits), default=None)
         got = reader.match(word)
         assert (got and got[0]) == (want and want[0]), (word, got, want)
@@ -122,6 +138,36 @@ def test_first_characters_symbols_and_short_terms_may_be_misspelled():
         assert {h[1] for h in reader.hits(text)[0]} == ({term} - {None}), text
 
 
+def test_a_forgetful_automaton_reads_the_same():
+    terms = [Term(t, default_edits(t)) for t in ("idiot", "stupid", "scum", "worthless", "ass")]
+    small, large, rng = Automaton(terms, most=40), Automaton(terms), random.Random(2)
+    for _ in range(5_000):
+        word = "".join(rng.choice("idotsupcmwrhleäx1$") for _ in range(rng.randrange(1, 12)))
+        assert small.match(word) == large.match(word), word
+    assert len(small.states) < len(large.states)
+
+
+def test_masked_words_and_quotations_equal_plain_expressions():
+    masked = re.compile(r"\w*(?:[^\w\s\"“”«»„]+\w+)+")
+    quoted = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab$ *\"“”«»„\n!") for _ in range(rng.randrange(25)))
+        assert [m.span() for m in toxicity.MASKED.finditer(text)] == [m.span() for m in masked.finditer(text)], text
+        assert toxicity.quotations(text) == [m.span() for m in quoted.finditer(text)], text
+
+
+def test_very_long_texts_are_read_once():
+    terms = [Term(t, default_edits(t)) for t in ("idiot", "stupid")]
+    reader = toxicity.Reader(terms, [1.0, 1.0])
+    began = time.process_time()
+    for part, tells in {"a": False, "!": False, "a$": False, "“\"": False, "stupid ": True}.items():
+        assert (reader.features(part * (1_000_000 // len(part)))[0] > 0) == tells
+    far = '"' + "a fine day " * 2_000 + 'you idiot"'
+    assert reader.hits(far)[0][0][3] and not reader.hits(far.replace("day", "day\n"))[0][0][3]
+    assert time.process_time() - began < 60
+
+
 def test_chats_round_trip(spark):
     rows = [
         (1, 1, "assistant", "####</tur\\"), (1, 0, "user", "a###b\\3</turn>\n\\e"), (2, 0, "assistant", None), (2, 1, None, "x\n:\nb"),
