@@ -21,6 +21,8 @@ from sigweave.llm.tables import WORD, added, cut, text_of
 RESULT = ("size", "source_size", "target", "copies", "taken")
 #: Documents ranked together, about; a source is split into as many ranges of the ranking as it needs.
 RANGE = 20_000
+#: How far a source may be off its target before the border is mended by more than one change.
+OFF = 0.01
 
 
 @dataclass(frozen=True)
@@ -95,34 +97,45 @@ def factors(histogram: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
     )
 
 
+def _nearest(sizes: np.ndarray, took: np.ndarray, short: float) -> tuple[float, np.ndarray]:
+    """The change that leaves least missing: a row added, one left out, or both; and what is then missing."""
+    inside, outside = np.flatnonzero(took), np.flatnonzero(~took)
+    gone, come = np.append(sizes[inside], 0), np.append(sizes[outside], 0)  # 0: no row on this side
+    order = np.argsort(come, kind="stable")
+    wanted = short + gone
+    right = np.minimum(np.searchsorted(come[order], wanted), len(order) - 1)
+    at = np.concatenate([right, np.maximum(right - 1, 0)])
+    left = np.tile(wanted, 2) - come[order[at]]
+    best = int(np.argmin(np.abs(left)))
+    out, into = best % len(gone), int(order[at[best]])
+    after = took.copy()
+    after[inside[out : out + 1]] = False
+    after[outside[into : into + 1]] = True
+    return float(left[best]), after
+
+
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     """Take in the order of the ranking, up to the border, with or without the row there.
 
-    What is then missing or too much goes by one change, whichever comes nearest: a row added, a
-    row left out, or both.  So a source departs from the order by two rows at most, whatever the
-    sizes and the number of rows.
+    What is then missing or too much goes by the change that comes nearest, of two rows at most.  Only
+    where a source is still off by more than ``OFF`` of its target, as a few long rows make it, are
+    further changes made, while they help: so a source departs from the order by a few rows,
+    whatever their number.
     """
     rows = rows.sort_values(["rank", "key", "tie"], kind="stable")
     sizes = rows["words"].to_numpy()
     until, room = sizes.cumsum(), float(rows["left"].iloc[0])
     n = int((until <= room).sum())
-    changes: list[tuple[float, int, list[int]]] = []  # what is missing or too much, rows taken, rows that change sides
+    ways = []
     for k in range(n, min(n + 1, len(sizes)) + 1):
-        short = room - (until[k - 1] if k else 0)
-        # None is an empty row that may stand on either side.
-        inside, outside = np.append(sizes[:k], 0), np.append(sizes[k:], 0)
-        order = np.argsort(outside, kind="stable")
-        wanted = short + inside
-        right = np.minimum(np.searchsorted(outside[order], wanted), len(order) - 1)
-        for at in (right, np.maximum(right - 1, 0)):
-            rest = np.abs(wanted - outside[order[at]])
-            out = int(np.argmin(rest))
-            into = int(order[at[out]])
-            changes.append((float(rest[out]), k, [out] * (out < k) + [k + into] * (k + into < len(sizes))))
-        changes.append((abs(short), k, []))
-    _, k, change = min(changes, key=lambda c: (c[0], len(c[2]), c[1]))
-    took = np.arange(len(sizes)) < k
-    took[change] = ~took[change]
+        took, short = np.arange(len(sizes)) < k, room - (until[k - 1] if k else 0)
+        ways += [(short, took), _nearest(sizes, took, short)]
+    short, took = min(ways, key=lambda w: abs(w[0]))
+    while abs(short) > OFF * rows["target"].iloc[0]:
+        further, after = _nearest(sizes, took, short)
+        if abs(further) >= abs(short):
+            break
+        short, took = further, after
     return rows.assign(took=took)[["key", "tie", "source", "took"]]
 
 
@@ -166,7 +179,7 @@ def mixed(
     )
     border = cut(border.withColumnRenamed("source", "of"), "border")
     at_border = ranked(rows).join(border, (F.col("source").eqNullSafe(F.col("of"))) & (F.col("range") == F.col("border")))
-    units = at_border.groupBy("key", "tie", "source", "rank", "left").agg(F.sum("size").alias("words"))
+    units = at_border.groupBy("key", "tie", "source", "rank", "left", "target").agg(F.sum("size").alias("words"))
     filled = units.groupBy("source").applyInPandas(
         _fill, f"key string, tie long, source {rows.schema['source'].dataType.simpleString()}, took boolean"
     )

@@ -101,12 +101,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["base"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id", *[count(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS],
         _hex(secret_scan.joined(base)).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"),
+        F.col("secrets_cut").alias("cut"),
     )
 
 

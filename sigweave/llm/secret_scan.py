@@ -37,6 +37,8 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,}")
+#: Base64 over several lines; tried only where a run begins, and never read back.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)++")
 GZIP, ZLIB = b"\x1f\x8b", (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 
 SPANS = T.ArrayType(T.StructType([
@@ -47,8 +49,9 @@ SPANS = T.ArrayType(T.StructType([
 
 @dataclass(frozen=True)
 class Limits:
-    """Guards against compression bombs: the characters all layers of one document may add up to
-    beyond this many times its own length and this floor.  What would exceed them is not unwrapped."""
+    """Guards against compression bombs: the characters all layers of one document may add up to, the
+    larger of ``times`` its own length and ``floor``.  What would exceed them is not unwrapped, and the
+    document is marked as cut."""
 
     times: int = 64
     floor: int = 1 << 24
@@ -141,8 +144,12 @@ def _escape(m: re.Match):
     return [(chr(code), 0, m.end() - m.start())]
 
 
+class TooLarge(Exception):
+    """What is compressed would exceed the limits."""
+
+
 def _expand(raw: bytes, room: int) -> bytes | None:
-    """What is compressed, if it is and if it fits."""
+    """What is compressed, if anything is."""
     if raw[:2] == GZIP:
         box = zlib.decompressobj(31)
     elif raw[:2] in ZLIB:
@@ -150,97 +157,141 @@ def _expand(raw: bytes, room: int) -> bytes | None:
     else:
         return None
     try:
-        out = box.decompress(raw, room)
+        out = box.decompress(raw, max(room, 0) + 1)
     except zlib.error:
         return None
-    return None if box.unconsumed_tail else out
+    if len(out) > room:
+        raise TooLarge
+    return out
 
 
-def _readable(raw: bytes) -> str | None:
+def _text(raw: bytes) -> tuple[str, np.ndarray]:
+    """The text and the bytes that each character takes; bytes that are no UTF-8 are a character each."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return None
-    return text if sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
+        return raw.decode("latin-1"), np.ones(len(raw), np.int64)
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return text, 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
 
 
-def _base64_runs(runs: list[tuple[int, str]]):
-    """``(start, run)`` in one of the two base64 alphabets."""
+def _base64_runs(text: str, runs: list[tuple[int, str]]):
+    """``(places, run)`` in one of the two base64 alphabets: in one line, or over lines of one width.
+
+    A line that is longer than the one before begins a new run, unless that one is the first (which
+    may begin inside a line), and a line that is shorter ends it.
+    """
     for at, run in runs:
         if not (("+" in run or "/" in run) and ("-" in run or "_" in run)):
-            yield at, run
+            yield np.arange(at, at + len(run)), run
         else:
-            yield from ((at + m.start(), m[0]) for m in BASE64.finditer(run))
-
-
-def _decoded(layer: Layer, runs: list[tuple[int, str]], room: int):
-    """A layer for each base64 run that holds text, at once or compressed."""
-    for at, run in _base64_runs(runs):
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        stop = at + len(run)
-        while stop < len(layer.text) and stop - at - len(run) < 2 and layer.text[stop] == "=":
+            yield from ((np.arange(at + m.start(), at + m.end()), m[0]) for m in BASE64.finditer(run))
+    for block in WRAPPED.finditer(text) if "\n" in text else ():
+        group: list[tuple[int, str]] = []
+        for line in re.finditer(r"[^\r\n]+", block[0]):
+            if group and (len(line[0]) > len(group[-1][1]) and len(group) > 1 or len(group) > 2 and len(group[-1][1]) < len(group[-2][1])):
+                yield from _joined_lines(group)
+                group = []
+            group.append((block.start() + line.start(), line[0]))
+        yield from _joined_lines(group)
+
+
+def _joined_lines(group: list[tuple[int, str]]):
+    if len(group) > 1:
+        yield np.concatenate([np.arange(at, at + len(line)) for at, line in group]), "".join(line for _, line in group)
+
+
+def _decoded(layer: Layer, runs: list[tuple[int, str]], room: int) -> tuple[list[Layer], bool]:
+    """A layer for what each base64 run holds, at once or compressed; and whether some would exceed ``room``."""
+    out, cut = [], False
+    for places, run in _base64_runs(layer.text, runs):
+        if len(run) % 4 == 1:
+            places, run = places[:-1], run[:-1]
+        stop = int(places[-1]) + 1
+        while stop < len(layer.text) and stop - int(places[-1]) < 3 and layer.text[stop] == "=":
             stop += 1
         try:
             raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
         except binascii.Error:
             continue
-        start, end = layer.place(at, stop)
-        unpacked, via = _expand(raw, room), "base64"
-        steps = 0
-        while unpacked is not None and steps < 64:
-            raw, via, steps = unpacked, via + ">inflate", steps + 1
-            unpacked = _expand(raw, room)
-        text = _readable(raw)
-        if not text:
+        via, past = "base64", set()
+        try:
+            while raw not in past and (unpacked := _expand(raw, room)) is not None:
+                past.add(raw)
+                raw, via = unpacked, via + ">inflate"
+        except TooLarge:
+            cut = True
+            continue
+        if not raw:
             continue
-        if steps:
+        text, size = _text(raw)
+        if past:
+            start, end = layer.place(int(places[0]), stop)
             where = np.full(len(text), start, np.int64), np.full(len(text), end, np.int64)
         else:
             # Four characters hold three bytes: a character goes back to the groups its bytes are in.
-            size = np.array([len(c.encode()) for c in text], np.int64)
+            places = np.concatenate([places, np.arange(int(places[-1]) + 1, stop)])
             last = np.cumsum(size)
-            a = at + (last - size) // 3 * 4
-            b = np.minimum(at + (last - 1) // 3 * 4 + 4, stop) - 1
+            a = places[(last - size) // 3 * 4]
+            b = places[np.minimum((last - 1) // 3 * 4 + 3, len(places) - 1)]
             where = (a, b + 1) if layer.start is None else (layer.start[a], layer.end[b])
-        yield Layer(text, *where, f"{layer.via}>{via}")
+        out.append(Layer(text, *where, f"{layer.via}>{via}"))
+    return out, cut
+
 
+def unwrap(text: str, limits: Limits = Limits()) -> tuple[list[tuple[str, int, int, bool, str]], bool]:
+    """All spans ``(kind, start, end, base, via)``, each place once, by start, then kind, then end.
 
-def unwrap(text: str, limits: Limits = Limits()) -> list[tuple[str, int, int, bool, str]]:
-    """All spans ``(kind, start, end, base, via)``, each place once, by start, then kind, then end."""
+    The second result tells whether the limits left layers unscanned.
+    """
     found: dict[tuple[str, int, int], tuple[bool, str]] = {}
-    room = max(limits.floor, limits.times * len(text))
+    room, cut = max(limits.floor, limits.times * len(text)), False
     work, seen = [Layer(text, None, None, "text")], set()
     while work:
         layer = work.pop()
         mark = (layer.text, *layer.place(0, len(layer.text))) if layer.text else None
-        if mark is None or mark in seen or len(layer.text) > room:
+        if mark is None or mark in seen:
             continue
+        if layer.start is not None:
+            if len(layer.text) > room:
+                cut = True
+                continue
+            room -= len(layer.text)
         seen.add(mark)
-        room -= len(layer.text) if layer.start is not None else 0
         runs = long_runs(layer.text)
         for kind, a, b in find(layer.text, runs):
             found.setdefault((kind, *layer.place(a, b)), (layer.start is None, layer.via))
         new = [_in_place(layer, PERCENT, _percent, "url") if "%" in layer.text else None]
         new.append(_in_place(layer, ESCAPE, _escape, "unicode") if "\\" in layer.text or "&#" in layer.text else None)
         work += [x for x in new if x is not None]
-        work += _decoded(layer, runs, room)
+        layers, large = _decoded(layer, runs, room)
+        work += layers
+        cut |= large
     order = sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
-    return [(*s, *found[s]) for s in order]
+    return [(*s, *found[s]) for s in order], cut
+
+
+FOUND = T.StructType([T.StructField("spans", SPANS), T.StructField("cut", T.BooleanType())])
 
 
-@F.pandas_udf(SPANS)
-def _spans(texts: pd.Series) -> pd.Series:
+@F.pandas_udf(FOUND)
+def _spans(texts: pd.Series) -> pd.DataFrame:
     fields = ("kind", "start", "end", "base", "via")
-    return pd.Series([[dict(zip(fields, s, strict=True)) for s in unwrap(t or "")] for t in texts], dtype=object)
+    read = [unwrap(t or "") for t in texts]
+    spans = pd.Series([[dict(zip(fields, s, strict=True)) for s in r[0]] for r in read], dtype=object)
+    return pd.DataFrame({"spans": spans, "cut": pd.Series([r[1] for r in read], dtype=bool)})
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """All rows and columns with ``out``: the spans of their secrets, in code points, end exclusive.
 
     ``base`` marks those that stand in the text itself; ``via`` tells how the others were wrapped.
-    Null and empty texts have none.  A column of the input named ``out`` is replaced.
+    ``<out>_cut`` is true where the limits on unwrapping left something unscanned.  Null and empty
+    texts have no span.  Columns of the input named like a result are replaced.
     """
-    return docs.select(*added(docs, out), _spans(text_of(text)).alias(out))
+    cut = f"{out}_cut"
+    rows = docs.select(*added(docs, out, cut), _spans(text_of(text)).alias("__found"))
+    return rows.select(*added(docs, out, cut), F.col("__found.spans").alias(out), F.col("__found.cut").alias(cut))
 
 
 def joined(spans: Column) -> Column:

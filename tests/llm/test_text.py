@@ -58,7 +58,7 @@ def test_the_border_keeps_short_and_long_documents_alike():
     rng, sizes, hits = np.random.default_rng(1), np.array([1, 50] * 200), np.zeros(400)
     room = 0.3 * sizes.sum()
     for _ in range(1_000):
-        ranked = pd.DataFrame({"key": np.arange(400).astype(str), "tie": np.arange(400), "source": "s", "rank": rng.random(400), "left": room, "words": sizes})
+        ranked = pd.DataFrame({"key": np.arange(400).astype(str), "tie": np.arange(400), "source": "s", "rank": rng.random(400), "left": room, "target": room, "words": sizes})
         took = mixing._fill(ranked).sort_values("tie").took.to_numpy()
         order = ranked["rank"].argsort().to_numpy()
         border = int((sizes[order].cumsum() <= room).sum())
@@ -203,6 +203,43 @@ def test_secrets_in_layers(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_in_wrapped_lines_broken_layers_and_repeated_compression(spark):
+    key = b"note " * 20 + b"password=hunter2secret" + b" end" * 20
+    def lines(raw, width=76, end="\n"):
+        text = base64.b64encode(raw).decode()
+        return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+    def spans(text):
+        return {(text[a:b].replace("\r", "").replace("\n", ""), base) for _, a, b, base, _ in secret_scan.unwrap(text)[0]}
+
+    def found(text, part=key):
+        return any(b"password=hunter2secret" in base64.b64decode(s + "=" * (-len(s) % 4)) for s, base in spans(text) if not base)
+
+    for width, end in ((76, "\n"), (64, "\r\n"), (30, "\n")):
+        assert found("x: y\n" + lines(key, width, end) + "\nrest"), (width, end)
+    packed = lines(gzip.compress(bytes(random.Random(5).randbytes(150)) + key))
+    assert [s[:3] for s in secret_scan.unwrap("a\n" + packed)[0]] == [("assign", 2, 2 + len(packed))]
+    broken = base64.b64encode(b"\xff\xfe password=hunter2secret \x80").decode()
+    assert [s[0] for s in secret_scan.unwrap(broken)[0]] == ["assign"] and found(broken)
+    nested = b"token=abcdefgh"
+    for _ in range(70):
+        nested = gzip.compress(nested)
+    assert [s[0] for s in secret_scan.unwrap(base64.b64encode(nested).decode())[0]] == ["assign"]
+    small = secret_scan.Limits(times=1, floor=1_000)
+    bomb = base64.b64encode(gzip.compress(b" " * 100_000 + key)).decode()
+    assert secret_scan.unwrap(bomb, small) == ([], True) and secret_scan.unwrap(bomb)[1] is False
+    docs = spark.createDataFrame([(1, bomb, True), (2, None, True)], "doc_id long, text string, secrets_cut boolean")
+    got = {r.doc_id: (len(r.secrets), r.secrets_cut) for r in secret_scan.scan(docs).collect()}
+    assert got == {1: (1, False), 2: (0, False)}
+
+
+def test_secrets_of_very_long_texts():
+    began = time.process_time()
+    for part in ("a", "=", "%41", "\\u0041", "QUJD\n", "password=hunter2 ", "0123456789abcdef" * 4 + "\n"):
+        secret_scan.unwrap(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 90
+
+
 def test_pipeline_runs_and_keeps_columns(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     before = docs
