@@ -15,16 +15,22 @@ ANY_DOMAIN = "*"
 
 #: Events of one name and scope that meet the subscriptions in one group.
 EVENTS_PER_SALT = 50_000
+#: Deliveries that one such group makes, about.
+PAIRS_PER_CELL = 500_000
 
 
-def outbox(events: DataFrame, subscriptions: DataFrame, per_salt: int = EVENTS_PER_SALT) -> DataFrame:
+def outbox(
+    events: DataFrame, subscriptions: DataFrame, per_salt: int = EVENTS_PER_SALT, per_cell: int = PAIRS_PER_CELL
+) -> DataFrame:
     """One row per event and active subscription that wants it, with its JSON payload.
 
     A subscription with a list of domains waits under each of them, one without under ``*``; an
     event looks under both.  There are few event names and one domain may have most events, so the
-    events under each (name, scope) are counted, and one with many is split into as many salts as
-    its count asks for; only the subscriptions waiting there are repeated per salt.  No group holds
-    a fixed share of all events, and scopes without events drop out before the fan-out.
+    events and the subscriptions under each (name, scope) are counted.  Many events are split into
+    salts, and many subscriptions into parts, so that a salt and a part make ``per_cell`` deliveries
+    at most, about; events are repeated per part and subscriptions per salt.  The subscriptions are
+    dealt by these cells even if Spark sends the events to them, as few bytes of subscriptions may
+    make many deliveries.  Scopes without events drop out before the fan-out.
     """
     names = F.create_map(*[F.lit(x) for pair in EVENT_NAMES.items() for x in pair])
     wanted = (
@@ -45,22 +51,31 @@ def outbox(events: DataFrame, subscriptions: DataFrame, per_salt: int = EVENTS_P
     )
     scopes = F.explode(F.array(F.col("domain"), F.lit(ANY_DOMAIN))).alias("scope")
     # One row a map task and key is shuffled for the counts, whatever the skew.
-    counts = named.select("event", scopes).groupBy("event", "scope").agg(
-        F.ceil(F.count(F.lit(1)) / per_salt).cast("int").alias("salts")
+    fired_at = named.select("event", scopes).groupBy("event", "scope").agg(F.count(F.lit(1)).alias("fired"))
+    waiting_at = wanted.groupBy("event", "scope").agg(F.count(F.lit(1)).alias("waiting"))
+    cells = fired_at.join(waiting_at, ["event", "scope"]).select(
+        "event", "scope",
+        F.ceil(F.col("fired") / per_salt).cast("int").alias("salts"),
+        F.ceil(F.col("waiting") * F.least("fired", F.lit(per_salt)) / per_cell).cast("int").alias("parts"),
+    )
+    cell = ["event", "scope", "salt", "part"]
+    waiting = (
+        wanted.join(cells, ["event", "scope"])
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .withColumn("part", F.pmod(F.xxhash64("subscription_id", "target"), F.col("parts")).cast("int"))
+        .drop("salts", "parts")
+        .repartition(*cell)
     )
-    hot = counts.filter("salts > 1")
-    waiting = wanted.join(counts, ["event", "scope"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     # The payload is the same for every subscriber, so it is written once, before the fan-out.
     fired = named.select(
         "*",
         F.to_json(
             F.struct("event", "domain", "canonical", "category", "confidence", "detected_at")
         ).alias("payload"),
-    ).select("*", scopes).join(hot, ["event", "scope"], "left")
-    spread = F.pmod(F.xxhash64("domain", "source", "canonical"), F.coalesce("salts", F.lit(1))).cast("int")
-    return fired.withColumn("salt", spread).join(
-        waiting.drop("salts"), ["event", "scope", "salt"]
-    ).select(
+    ).select("*", scopes).join(cells, ["event", "scope"])
+    salt = F.pmod(F.xxhash64("domain", "source", "canonical"), F.col("salts")).cast("int")
+    fired = fired.withColumn("salt", salt).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return fired.join(waiting, cell).select(
         "subscription_id", "target", "event", "domain", "source", "canonical", "category",
         "confidence", "detected_at", "payload",
     )

@@ -167,6 +167,22 @@ def test_outbox_splits_only_scopes_with_many_events(spark, t):
     assert got[0] == got[1] == got[2] and len(got[0]) == 300 + 20 + 300 + 1
 
 
+def test_outbox_deals_many_subscriptions_of_one_scope_to_several_tasks(spark, t):
+    events = spark.createDataFrame(
+        [("hot.com", "s", "added", f"T{i}", "c", None, 0.7, t(1)) for i in range(5)] + [(None, "s", "added", "T", "c", None, 0.7, t(1))], CHANGE_EVENT)
+    subs = spark.createDataFrame(
+        [(f"s{i}", "k", "u", ["tech_added"], ["hot.com"], True) for i in range(400)] + [(None, "k", "u", ["tech_added"], ["hot.com"], True)] * 2,
+        "id string, key_id string, url string, events array<string>, domains array<string>, is_active boolean").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [webhooks.outbox(events, subs, n, m) for n, m in ((50_000, 100), (2, 7), (1, 1), (50_000, 10**6))]
+        got = [sorted(map(str, r.collect())) for r in rows]
+        tasks = rows[0].select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == 402 * 5 and tasks > 1
+
+
 def test_outbox_stream_delivers_each_event_once(spark, t, tmp_path):
     src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     kinds = "id string, key_id string, url string, events array<string>, domains array<string>, is_active boolean"
