@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 
 from sigweave.sources import boards, html, registry
@@ -145,3 +146,21 @@ def test_registry(spark):
     assert tasks == [
         ("greenhouse:a.com", "A2"), ("greenhouse:a.com", "A3"), ("html_headers:a.com", "A2"),
         ("html_headers:b.com", "B"), ("lever:a.com", "A"), ("lever:b.com", "B")]
+
+
+def test_pages_go_through_python_in_portions():
+    body = "word " * (html.PORTION // 10)
+    pages = [f'<h1>T{i}</h1><div id="jobDescriptionText">{i} {body}</div>' for i in range(5)] + ["<p>none</p>", '<div id="jobDescriptionText"> </div>']
+    batch = pa.RecordBatch.from_pydict({"page_id": [0, 1, None, 3, 4, 5, 6], "url": list("abcdefg"), "html": pages})
+    parts = list(html._details(iter([batch.slice(0, 0), batch])))
+    assert max(sum(map(len, p["description"].to_pylist())) for p in parts) < 2 * html.PORTION and len(parts) > 2
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [(r["page_id"], r["url"], r["title"]) for r in rows] == [(0, "a", "T0"), (1, "b", "T1"), (None, "c", "T2"), (3, "d", "T3"), (4, "e", "T4")]
+    assert all(r["description"] == f"{i} {body}".strip() for i, r in enumerate(rows))
+
+
+def test_cards_fill_only_pages_without_keyed_links(spark):
+    card, keyed = '<h2 class="jobTitle"><a href="/c">C</a></h2>', '<a data-jk="k" href="/r?jk=k">K</a>'
+    pages = spark.createDataFrame([(1, card), (2, keyed), (None, card), (4, None), (5, card + keyed)], "page_id long, html string").coalesce(1)
+    got = {(r.page_id, r.title, r.jk) for r in html.job_links(pages).collect()}
+    assert got == {(1, "C", None), (2, "K", "k"), (None, "C", None), (5, "K", "k")}
