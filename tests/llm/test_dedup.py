@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -148,6 +149,33 @@ def test_repeated_strings_go(spark):
     assert suffix_dedup.without_repeats(docs.limit(0), 6).count() == 0
 
 
+def test_surroundings_alike_are_found_for_every_split_into_batches():
+    random.seed(8)
+    rows = sorted((random.randrange(6), random.randrange(3), random.randrange(2), u, u) for u in range(40)) + [(9, 0, 0, 99, 99)]
+    table = pa.Table.from_pylist([dict(zip(("h", "s1", "s2", "uid", "at"), r)) | {"begin": 0, "end": 9} for r in rows])
+    count, digests = Counter(r[:3] for r in rows), Counter(h for h, _, _ in {r[:3] for r in rows})
+    last = {r[:3]: r for r in rows}
+    expected = [(r[3], count[r[:3]] > 1, digests[r[0]] > 1 and last[r[:3]] == r) for r in rows]
+    expected = [e for e in expected if e[1] or e[2]]
+    for size in (1, 2, 3, 7, 100):
+        out = [x for b in suffix_dedup._alike(iter(table.to_batches(size))) for x in b.to_pylist()]
+        assert [(x["uid"], x["twice"], x["sorted"]) for x in out] == expected
+
+
+def test_surroundings_alike_are_not_sorted(spark, monkeypatch):
+    random.seed(9)
+    a, b = ("".join(random.choice("abcdefghij") for _ in range(3000)) for _ in range(2))
+    near = a[:1500] + "#" + a[1501:]
+    texts = [a, a, near, b, b[:900] + a[700:1100], "ä" + a[:199], a[:200] + "y", "z" * 450, None]
+    sizes = []
+    sort = suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda s, n, *x: sizes.append(n) or sort(s, n, *x))
+    docs = spark.createDataFrame(rows_of(*texts), ODD)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs, 200).collect()}
+    assert got == without(list(enumerate(texts)), 200)
+    assert 0 < sizes[0] < sum(len(t or "") for t in texts) / 2
+
+
 def test_suffix_order_is_the_order_of_suffixes(spark):
     random.seed(5)
     string = [random.choice((1, 2)) for _ in range(60)]
