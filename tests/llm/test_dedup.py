@@ -176,6 +176,70 @@ def test_surroundings_alike_are_not_sorted(spark, monkeypatch):
     assert 0 < sizes[0] < sum(len(t or "") for t in texts) / 2
 
 
+def edited(n, seed):
+    """A text, edited copies of it with a long common line and runs of a period, and null."""
+    random.seed(seed)
+    base = "".join(random.choice("abcdefghij") for _ in range(1200))
+    line = "".join(random.choice("klmnop") for _ in range(120))
+    texts = [base, "xyz" * 200, None, "xyz" * 90 + base[300:700], line + "é" * 150]
+    for _ in range(n):
+        k = random.randrange(1200)
+        texts.append(base[:k] + random.choice("#-+") + base[k + random.randrange(3) :] + line + base[random.randrange(1100) :])
+    return texts
+
+
+def cut_texts(docs, length):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs, length).collect()}
+
+
+def test_one_row_is_sorted_for_the_strings_of_an_anchor(spark, monkeypatch):
+    texts = edited(12, 10)
+    sizes = []
+    sort = suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda s, n, *x: sizes.append(n) or sort(s, n, *x))
+    assert cut_texts(spark.createDataFrame(rows_of(*texts), ODD), 200) == without(list(enumerate(texts)), 200)
+    assert 0 < sizes[0] < sum(len(t or "") for t in texts) / 40
+
+
+@pytest.mark.parametrize("length", [60, 200])
+def test_grams_too_many_for_a_portion_lose_no_string(spark, monkeypatch, length):
+    monkeypatch.setattr(suffix_dedup, "HELD", 2)
+    texts = edited(12, 11)
+    docs = spark.createDataFrame(rows_of(*texts), ODD)
+    assert cut_texts(docs.repartition(5), length) == without(list(enumerate(texts)), length)
+
+
+def test_induced_strings_equal_brute_force_for_every_portion(monkeypatch):
+    random.seed(12)
+    length, texts = 30, ["".join(random.choice("ab") for _ in range(120)) for _ in range(3)]
+    texts += [t[:60] + random.choice("abc") + t[61:] for t in texts for _ in range(6)] + ["ab" * 40, "ba" * 20, "\0" * 50]
+    rows, strings = [], Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
+    for uid, text in enumerate(texts):
+        at, _, first, last = suffix_dedup.anchors(suffix_dedup._bytes(text), length)
+        assert [p for f, e in zip(first, last) for p in range(f, e + 1)] == list(range(len(text) - length + 1))
+        for a, f, e in zip(at.tolist(), first.tolist(), last.tolist()):
+            raw = text.encode()
+            rows.append({"uid": uid, "i": a, "before": raw[f:a], "rank": raw[a : e + length], "gram": raw[a : a + 10], "many": True})
+    expected = {(u, p) for u, t in enumerate(texts) for p in range(len(t) - length + 1) if strings[t[p : p + length]] > 1}
+    table = pa.Table.from_pylist(sorted(rows, key=lambda r: r["rank"]))
+    for held in (1, 3, 10, 1000):
+        monkeypatch.setattr(suffix_dedup, "HELD", held)
+        found = set()
+        out = [x for b in suffix_dedup._induced(length)(iter(table.to_batches(min(held, 7)))) for x in b.to_pylist()]
+        texts_beyond = Counter(x["text"] for x in out if x["text"] is not None)
+        for x in out:
+            begin, size = divmod(x["stretch"], 2 * length)
+            if x["text"] is None or texts_beyond[x["text"]] > 1:
+                found |= {(x["uid"], p) for p in range(begin, begin + size - length + 1)}
+        assert found == expected
+
+
+def test_stretches_alike_in_a_batch_are_told_once_more(spark):
+    texts = ["xy" * 2000, "xy" * 2000 + "z", "yx" * 300]
+    docs = spark.createDataFrame(rows_of(*texts), ODD)
+    assert cut_texts(docs, 200) == without(list(enumerate(texts)), 200)
+
+
 def test_suffix_order_is_the_order_of_suffixes(spark):
     random.seed(5)
     string = [random.choice((1, 2)) for _ in range(60)]
