@@ -206,7 +206,15 @@ def test_grams_too_many_for_a_portion_lose_no_string(spark, monkeypatch, length)
     monkeypatch.setattr(suffix_dedup, "HELD", 2)
     texts = edited(12, 11)
     docs = spark.createDataFrame(rows_of(*texts), ODD)
-    assert cut_texts(docs.repartition(5), length) == without(list(enumerate(texts)), length)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "11"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert cut_texts(docs, length) == without(list(enumerate(texts)), length)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_induced_strings_equal_brute_force_for_every_portion(monkeypatch):
